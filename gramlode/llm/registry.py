@@ -11,12 +11,26 @@ from gramlode.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramlode.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gramlode.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramlode.llm.warc import history, write_warc
+
+    return history(write_warc(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gramlode.llm.media import media_columns
 
@@ -31,6 +45,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, full=False)
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramlode.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
