@@ -19,8 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces that a task remembers, and the longest of them in bytes; beyond, they are encoded anew.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 256
+#: Distinct pieces that a Python worker remembers, and the longest of them in bytes; beyond, they are encoded anew.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 256
+#: Above every rank.
+NEVER = 1 << 62
+#: Bytes of a leaf of the tree, encoded by the plain rule.
+LEAF = 12
 #: White space as the reference tokenizer's regex engine has it (fixed values).
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 
@@ -35,22 +39,27 @@ class Monoid:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {v: k for k, v in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.settled: dict[tuple[int, int], bool] = {}
 
     def merged(self, parts: list[bytes]) -> list[int]:
         """The plain rule on a short window: again and again, the leftmost pair of least rank becomes one token."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        get = self.ranks.get
+        pairs = [get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], NEVER)
+        return [self.ranks[p] for p in parts]
 
     def window(self, data: bytes) -> list[int]:
         return self.merged([data[i : i + 1] for i in range(len(data))])
@@ -81,8 +90,12 @@ class Monoid:
             right += right if not right_ok else 0
 
     def encode(self, piece: bytes) -> list[int]:
-        """Halves, level by level from the leaves, so that a long piece needs no deep recursion."""
-        level = [[self.ranks[piece[i : i + 1]]] for i in range(len(piece))]
+        """Halves, level by level from leaves of LEAF bytes, so that a long piece needs no deep recursion. A piece that is a
+        token as a whole is that token."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        level = [self.window(piece[i : i + LEAF]) for i in range(0, len(piece), LEAF)]
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []
@@ -95,27 +108,41 @@ class Monoid:
         return level[0] if level else b""
 
 
+class Known(dict):
+    """Piece to its ids as little-endian 32-bit integers."""
+
+    def __init__(self, monoid: Monoid):
+        self.monoid = monoid
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece.encode()
+        ids = np.asarray(self.monoid.encode(raw), "<u4").tobytes()
+        if len(raw) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def _known(path: str) -> Known:
+    """One for each Python worker, which Spark uses for many tasks: an encoding depends on the piece alone."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_remembered_pieces", types.ModuleType("_remembered_pieces")).__dict__
+    if path not in kept:
+        kept[path] = Known(Monoid(read_ranks(path)))
+    return kept[path]
+
+
 def _digests(path: str, pattern: str, full: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import regex
 
-        monoid = Monoid(read_ranks(path))
+        known = _known(path)
+        monoid = known.monoid
         pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
-
-        class Known(dict):
-            """Piece to ids as little-endian 32-bit integers."""
-
-            def __missing__(self, piece: str) -> bytes:
-                raw = piece.encode()
-                ids = np.asarray(monoid.encode(raw), "<u4").tobytes()
-                if len(raw) <= REMEMBERED_BYTES:
-                    if len(self) >= REMEMBERED:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        known = Known()
         for batch in batches:
             counts, ids_sha, decoded_sha, ids_col, back_col = [], [], [], [], []
             for value in batch.column("text"):
