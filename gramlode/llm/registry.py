@@ -57,6 +57,12 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramlode.llm import license as lic
+
+    return lic.digest(lic.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
