@@ -57,6 +57,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, full=False)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramlode.llm.substrings import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), full=False)
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gramlode.llm.ann import search
 
