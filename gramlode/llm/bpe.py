@@ -135,7 +135,7 @@ def _known(path: str) -> Known:
     return kept[path]
 
 
-def _digests(path: str, pattern: str, full: bool):
+def _encoded(path: str, pattern: str, keep: int, ids: bool, decoded: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import regex
@@ -144,30 +144,34 @@ def _digests(path: str, pattern: str, full: bool):
         monoid = known.monoid
         pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
         for batch in batches:
-            counts, ids_sha, decoded_sha, ids_col, back_col = [], [], [], [], []
-            for value in batch.column("text"):
-                text = value.as_py() or ""
-                packed = b"".join(map(known.__getitem__, pieces(text)))
-                ids = np.frombuffer(packed, "<u4").tolist()
-                back = monoid.decode(ids)
-                counts.append(len(ids))
+            counts, ids_sha, back_sha, packs, backs = [], [], [], [], []
+            for value in batch.column(keep):
+                packed = b"".join(map(known.__getitem__, pieces(value.as_py() or "")))
+                back = monoid.decode(np.frombuffer(packed, "<u4").tolist())
+                counts.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
-                decoded_sha.append(hashlib.sha256(back).hexdigest())
-                if full:
-                    ids_col.append(ids)
-                    back_col.append(back)
-            cols = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                cols += [pa.array(ids_col, pa.list_(pa.int32())), pa.array(back_col, pa.binary())]
-                names += ["ids", "decoded"]
+                back_sha.append(hashlib.sha256(back).hexdigest())
+                if ids:
+                    packs.append(packed)
+                if decoded:
+                    backs.append(back)
+            cols = [*batch.columns[:keep], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
+            names = [*batch.schema.names[:keep], "n_tokens", "ids_sha256", "decoded_sha256"]
+            if ids:
+                offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packs), "<i4"))))
+                names.append("ids")
+            if decoded:
+                cols.append(pa.array(backs, pa.binary()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, *, full: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, and with ``full`` ids and the decoded bytes."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_digests(ranks_path, pattern, full), schema)
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), ids: bool = True, decoded: bool = True) -> DataFrame:
+    """``keep``, n_tokens, ids_sha256 and decoded_sha256 of each text, and on demand ids and the decoded bytes."""
+    kept = [docs[c].alias(f"c{i}") for i, c in enumerate(keep)]
+    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded binary" * decoded
+    out = docs.select(*kept, docs["text"].cast("string").alias("text")).mapInArrow(_encoded(ranks_path, pattern, len(keep), ids, decoded), schema)
+    return out.toDF(*keep, *out.columns[len(keep) :])

@@ -27,13 +27,14 @@ TILT, STEPS, CELLS, LEVELS = 0.25, 30, 1024, 3
 def _sizes(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for rows, data, offs in text_chunks(batches):
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(word_bounds(data, offs)[2], pa.int64())], names=["doc_id", "source", "size"])
+    for rows, data, offs in text_chunks(batches, "words_of"):
+        yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(word_bounds(data, offs)[2], pa.int64())], names=[*rows.schema.names[:-1], "size"])
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_sizes, f"doc_id {id_type}, source string, size long")
+def word_sizes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+    """``keep`` and the number of words."""
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("words_of")).mapInArrow(_sizes, f"{types}, size long")
 
 
 def targets(sources: list[tuple], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:
@@ -59,12 +60,13 @@ def _rate(a: Column, tilt: float, most: float = MOST) -> Column:
     return most / (1 + F.exp(-(a + tilt * F.log1p(F.col("size").cast("double")))))
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, tilt: float = TILT, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies and taken of each document.
+def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, tilt: float = TILT, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies and taken of each document, and columns to ``keep``.
 
     Sources are few against documents: a row for each is summed by the executors, and the list is checked to be under
     100,000 before it is held by the driver and broadcast."""
     spark = docs.sparkSession
+    docs = docs.withColumn("source", F.col("source").cast("string"))
     sized = saved(word_sizes(docs), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     listed = [(r.source, r.source_size) for r in by_source.limit(100_001).collect()]
@@ -72,16 +74,35 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
         raise ValueError("more than 100,000 sources: they are no longer few")
     goal = targets(listed, weights, share, most)
     size_of = dict(listed)
-    # documents of equal source and size have equal rates: Newton needs only their numbers
+    a = _multipliers(sized, goal, size_of, most, tilt)
+    info = F.broadcast(spark.createDataFrame([(s, size_of[s], goal[s], a[s]) for s in goal], "s string, source_size long, target double, a double"))
+
+    def rated(rows: DataFrame) -> DataFrame:
+        toss = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+        rate = F.when(F.col("a") >= 1e3, F.lit(float(most))).when(F.col("a") <= -1e3, F.lit(0.0)).otherwise(_rate(F.col("a"), tilt, most))
+        out = rows.join(info, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+        part = F.col("rate") - F.col("whole")
+        return out.withColumn("key", F.when(part > 0, toss / (toss + part)))
+
+    line = F.broadcast(_border(rated(sized), goal))
+    rows = rated(word_sizes(docs, ("doc_id", "source", *(c for c in keep if c not in ("doc_id", "source")))) if keep else sized)
+    extra = F.when(F.col("key").isNotNull() & (F.col("key") < F.col("line")), 1).otherwise(0)
+    out = rows.join(line, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", (F.col("whole") + extra).cast("int"))
+    return out.select(*dict.fromkeys(("doc_id", "source", *keep)), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _multipliers(sized: DataFrame, goal: dict, size_of: dict, most: float, tilt: float) -> dict:
+    """Newton's steps on the dual of each source, safeguarded by bisection. Documents of equal source and size have equal rates, so their
+    numbers are enough. Goals at 0 or at the limit have no finite multiplier: -1000 and 1000 stand for it."""
+    spark = sized.sparkSession
     counts = saved(sized.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     a = {s: 0.0 for s in goal if 0 < goal[s] < most * size_of[s] * (1 - 1e-9)}
     bounds = {s: (-60.0, 60.0) for s in a}
-    schema = "source string, a double"
     moving = set(a)
     for _ in range(STEPS):
         if not moving:
             break
-        now = spark.createDataFrame([(s, a[s]) for s in sorted(moving, key=lambda s: (s is None, s or ""))], schema).withColumnRenamed("source", "s")
+        now = spark.createDataFrame([(s, a[s]) for s in sorted(moving, key=lambda s: (s is None, s or ""))], "s string, a double")
         rate = _rate(F.col("a"), tilt, most)
         words = F.col("n") * F.col("size")
         sums = counts.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(F.sum(words * rate).alias("f"), F.sum(words * rate * (1 - rate / most)).alias("g"))
@@ -95,21 +116,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
             step = a[s] - gap / r.g if r.g > 0 else (low + high) / 2
             a[s] = step if low < step < high else (low + high) / 2
             bounds[s] = (low, high)
-    # goal 0: rate 0; goal at the limit: rate ``most``
-    rows = [(s, size_of[s], goal[s], a.get(s, -1e3 if goal[s] <= 0 else 1e3)) for s in goal]
-    info = F.broadcast(spark.createDataFrame(rows, "s string, source_size long, target double, a double"))
-    toss = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    rated = sized.join(info, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", F.when(F.col("a") >= 1e3, F.lit(float(most))).when(F.col("a") <= -1e3, F.lit(0.0)).otherwise(_rate(F.col("a"), tilt, most)))
-    whole = F.floor("rate")
-    part = F.col("rate") - whole
-    rated = rated.withColumn("whole", whole).withColumn("key", F.when(part > 0, toss / (toss + part)))
-    border = _border(rated, goal)
-    line = F.broadcast(border)
-    extra = F.when(F.col("key").isNotNull() & (F.col("key") < F.col("line")), 1).otherwise(0)
-    return (
-        rated.join(line, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", (F.col("whole") + extra).cast("int"))
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    return {s: a.get(s, -1e3 if goal[s] <= 0 else 1e3) for s in goal}
 
 
 def _border(rated: DataFrame, goal: dict) -> DataFrame:
@@ -120,7 +127,7 @@ def _border(rated: DataFrame, goal: dict) -> DataFrame:
     low, width, need = {}, {}, {}
     for s in base:
         low[s], width[s], need[s] = 0.0, 1.0, goal[s] - base[s]
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         now = F.broadcast(spark.createDataFrame([(s, low[s], width[s]) for s in low], "s string, low double, width double"))
         cell = F.floor((F.col("key") - F.col("low")) / F.col("width") * CELLS)
         cells = (
@@ -142,6 +149,6 @@ def _border(rated: DataFrame, goal: dict) -> DataFrame:
                 low[s] += width[s] * cell_ / CELLS
                 need[s] -= upto - w
                 width[s] /= CELLS
-                if w - need[s] < need[s] and _ == LEVELS - 1:  # nearer with the border cell than without
+                if w - need[s] < need[s] and level == LEVELS - 1:  # nearer with the border cell than without
                     low[s] += width[s]
     return spark.createDataFrame([(s, low[s]) for s in low], "s string, line double")

@@ -334,8 +334,8 @@ def model(spark: SparkSession) -> tuple[list, dict[int, float]]:
     return _trained[key]
 
 
-def spans(docs: DataFrame, trained=None) -> DataFrame:
-    """doc_id, text, base and spans: sorted coded spans."""
+def spans(docs: DataFrame, trained=None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, text (null: empty), base and spans: sorted coded spans."""
     trees, limits = trained or model(docs.sparkSession)
 
     def chosen(c: Column) -> Column:
@@ -347,10 +347,9 @@ def spans(docs: DataFrame, trained=None) -> DataFrame:
         return score >= limit
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).withColumn("found", F.explode(F.array(candidates(F.col("text")))))
-    base = F.sort_array("found.base")
+    found = docs.select(*keep, text.alias("text")).withColumn("found", F.explode(F.array(candidates(F.col("text")))))
     more = F.transform(F.filter("found.more", chosen), lambda c: c["code"])
-    return found.select("doc_id", "text", base.alias("base"), F.sort_array(F.array_distinct(F.concat("found.base", more))).alias("spans"))
+    return found.select(*keep, "text", F.sort_array("found.base").alias("base"), F.sort_array(F.array_distinct(F.concat("found.base", more))).alias("spans"))
 
 
 def listed(codes: Column) -> Column:

@@ -54,7 +54,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from gramlode.llm.bpe import bpe_encode
 
-    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, full=False)
+    return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, decoded=False)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
