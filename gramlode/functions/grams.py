@@ -9,7 +9,7 @@ import numpy as np
 #: FNV-1a, 64 bits (fixed values).
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 #: The two characters outside ASCII that case folding maps to ASCII letters (fixed values).
-FOLDS = {"K".encode(): b"k", "ſ".encode(): b"s"}
+FOLDS = {"K".encode(): b"k", "ſ".encode(): b"s"}
 
 
 def fnv1a(data: bytes) -> int:

@@ -391,6 +391,7 @@ def oracle_sql() -> dict[str, str]:
         "index_eligible": f"WITH {FILES} SELECT CASE WHEN size > {LIMIT} THEN 'skipped_large' WHEN contains(text, chr(0)) THEN 'skipped_binary' ELSE 'indexed' END AS status, count(*) AS n FROM files GROUP BY 1",
         "gram_extract": f"WITH {GRAMS_SQL} SELECT gram, file_id FROM postings",
         "index_stats": f"WITH {GRAMS_SQL} SELECT count(DISTINCT file_id) AS file_count, count(DISTINCT gram) AS ngram_count, count(*) AS total_ngrams FROM postings",
+        "index_build_stats": f"WITH hexed AS (SELECT hex(encode({LOWER})) AS h FROM (SELECT coalesce(text, '') AS text FROM documents)), lists AS (SELECT list_distinct(list_transform(range(0, greatest(length(h) // 2 - 2, 0)), lambda i: substr(h, 2 * i + 1, 6))) AS gs FROM hexed) SELECT (SELECT count(*) FROM lists) AS file_count, (SELECT count(DISTINCT g) FROM (SELECT unnest(gs) AS g FROM lists)) AS ngram_count, (SELECT sum(len(gs))::bigint FROM lists) AS total_ngrams, 0::bigint AS skipped_binary, 0::bigint AS skipped_large",
         "gram_df_topk": f"WITH {GRAMS_SQL} SELECT gram, count(*) AS df FROM postings GROUP BY gram ORDER BY df DESC, gram LIMIT 100",
         "posting_lists": f"WITH {GRAMS_SQL} SELECT gram, string_agg(file_id::varchar, ',' ORDER BY file_id) AS file_ids FROM postings GROUP BY gram",
         "posting_gaps": f"WITH {GRAMS_SQL} SELECT gram, file_id, file_id - coalesce(lag(file_id) OVER (PARTITION BY gram ORDER BY file_id), 0) AS gap FROM postings",
