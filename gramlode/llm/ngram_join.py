@@ -293,13 +293,14 @@ def _verified(similar: int):
                 overlap = int((common[1:] == common[:-1]).sum())
                 if 100 * overlap >= similar * (na + nb - overlap):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good, pa.int64())), batch.column("b").take(pa.array(good, pa.int64()))], names=["u", "v"])
+            pick = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pick), batch.column("b").take(pick)], names=["u", "v"])
 
     return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; each pair once."""
+    """The pairs (a, b) that are similar enough by their whole sets, each once."""
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
@@ -307,10 +308,10 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 
 def _possible(similar: int) -> Column:
-    """Length and positional filters of two postings (n, pos) and (m, qos)."""
-    n, m, p, q = F.col("n"), F.col("m"), F.col("pos"), F.col("qos")
-    ahead = F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1)
-    return (100 * F.least(n, m) >= similar * F.greatest(n, m)) & (ahead >= least_overlap(n, m, similar))
+    """Length and positional filters of two postings. A similar pair meets at its first common shingle, wherever else it meets; there, all
+    that is common are the key and shared shingles behind it: s - j and t - k of them, where the key stands at j of s and k of t."""
+    n, m, s, t, j, k = (F.col(c) for c in ("n", "m", "s", "t", "j", "k"))
+    return (100 * F.least(n, m) >= similar * F.greatest(n, m)) & (F.least(s - j, t - k) >= least_overlap(n, m, similar))
 
 
 # ---- components
@@ -391,38 +392,35 @@ def _linked(sets: DataFrame, similar: int) -> DataFrame | None:
     """(node, root) of the classes with a link."""
     lone = F.col("n") - F.size("keys")
     length = F.col("n") - F.ceil(F.col("n") * similar / F.lit(100.0) - 1e-9) + 1 - lone
-    prefix = sets.withColumn("p", length.cast("int")).filter("p > 0").select("node", "n", lone.alias("lone"), F.posexplode(F.slice("keys", 1, F.col("p"))).alias("j", "key"))
-    postings = prefix.select("key", "node", "n", (F.col("lone") + F.col("j")).alias("pos"))
-    several = postings.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    prefix = sets.withColumn("p", length.cast("int")).filter("p > 0")
+    postings = prefix.select("node", "n", F.size("keys").alias("s"), F.posexplode(F.slice("keys", 1, F.col("p"))).alias("j", "key"))
+    several = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     postings = saved(postings.join(several, "key"), "join-postings")
-    edges, labels = None, None
+    fields = ("node", "n", "s", "j", "comp")
+    # the first pivot is the set with fewest shingles of its own, the likeliest centre of a group; the others are picked by hash
+    orders = {"first": [F.col("n") - F.col("s")], "others": [F.xxhash64(F.lit(i), "node") for i in range(PIVOTS)]}
+    labels = None
     for step in ("first", "others", "pairs"):
-        here = postings
+        here = postings.withColumn("comp", F.col("node"))
         if labels is not None:
-            roots = labels.withColumnRenamed("root", "comp")
-            here = postings.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            here = saved(here.join(mixed_keys, "key"), "join-mixed")
+            here = postings.join(labels.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            several = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+            here = saved(here.join(several, "key"), "join-mixed")
             if here.isEmpty():
                 break
-        else:
-            here = here.withColumn("comp", F.col("node"))
         if step == "pairs":
-            other = here.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("comp").alias("its"))
-            pairs = here.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("comp") != F.col("its")) & _possible(similar))
+            other, apart = here, F.col("node") < F.col("other")
         else:
-            item = F.struct("n", "node", "pos", "comp")
-            orders = [item] if step == "first" else [F.struct(F.xxhash64(F.lit(s), "node").alias("h"), "n", "node", "pos", "comp") for s in range(PIVOTS)]
-            agg = here.groupBy("key").agg(*(F.min(o).alias(f"p{i}") for i, o in enumerate(orders)))
-            pivots = agg.select("key", F.explode(F.array_distinct(F.array(*(F.struct(f"p{i}.n", f"p{i}.node", f"p{i}.pos", f"p{i}.comp") for i in range(len(orders)))))).alias("p"))
-            pivots = pivots.select("key", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.pos").alias("qos"), F.col("p.comp").alias("its"))
-            pairs = here.join(pivots, "key").filter((F.col("node") != F.col("other")) & (F.col("comp") != F.col("its")) & _possible(similar))
-        found = saved(verify(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), sets, similar), f"join-links-{step}")
+            best = here.groupBy("key").agg(*(F.min(F.struct(o.alias("h"), *fields)).alias(f"p{i}") for i, o in enumerate(orders[step])))
+            pivots = F.array_distinct(F.array(*(F.struct(*(f"p{i}.{f}" for f in fields)) for i in range(len(orders[step])))))
+            other, apart = best.select("key", F.explode(pivots).alias("p")).select("key", "p.*"), F.col("node") != F.col("other")
+        other = other.select("key", *(F.col(f).alias(to) for f, to in zip(fields, ("other", "m", "t", "k", "its"))))
+        pairs = here.join(other, "key").filter(apart & (F.col("comp") != F.col("its")) & _possible(similar))
+        found = saved(verify(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), sets, similar), "join-links")
         if found.isEmpty():
             continue
-        edges = found if edges is None else edges.unionByName(found)
         # what is connected already enters as its star
-        known = edges if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        known = found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
         labels = saved(components(known), "join-labels")
         release(sets.sparkSession)
     return labels
