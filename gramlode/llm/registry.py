@@ -40,7 +40,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gramlode.llm.warc import history, write_warc
 
-    return history(write_warc(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+    return history(write_warc(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from gramlode.llm import oracle
+
+    return oracle.queries()
