@@ -5,13 +5,14 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker looks at in one step, unless a single text is longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 _made: list = []
 
@@ -59,9 +60,11 @@ def drop_saved(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop shuffle files that nothing refers to any more; its cleaner runs beside us."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def text_chunks(batches, column: str = "text", budget: int = CHUNK_BYTES):
@@ -128,7 +131,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 16)
             self.powers = np.full(n, self.BASE, np.uint64)
             self.powers[0] = 1
             np.cumprod(self.powers, out=self.powers)

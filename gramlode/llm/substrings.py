@@ -29,7 +29,9 @@ from gramlode.llm.common import Rolling, mixed, release, saved, text_chunks
 #: Bytes of a string that counts as repeated, and of the k-gram at its anchor.
 LENGTH, GRAM = 50, 20
 #: Text of a bucket in the mean, entries of a batch, different spans of a k-gram in a batch from which it is hot, whole copies whose ids are broadcast, bytes looked at together.
-BUCKET_BYTES, BATCH_ENTRIES, HOT, SKIPPED, SEGMENT = 32 << 20, 1_500_000, 256, 2_000_000, 4 << 20
+BUCKET_BYTES, BATCH_ENTRIES, HOT, SKIPPED, SEGMENT = 32 << 20, 1_000_000, 256, 2_000_000, 2 << 20
+#: Spans whose text is compared in one bucket, in the mean.
+BUCKET_SPANS = 30_000
 #: Bytes that multikey quicksort compares; longer common prefixes are left to blind tries.
 SHALLOW = 32
 LAST = (1 << 63) - 1
@@ -92,7 +94,7 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
 #: kinds: 0 spans, 1 spans of a hot k-gram, 2 hot k-grams that others may hold, 3 covered intervals.
 BLOCK = "bucket int, kind int, ids binary, marks binary, grams binary, wholes binary, docs binary, starts binary, ends binary"
 #: kinds: 0 covered intervals, 1 spans whose text is needed, 2 documents covered as a whole.
-FOUND = "key long, mark long, kind int, starts binary, ends binary, grams binary, hot binary"
+FOUND = "key long, mark long, kind int, starts array<int>, ends array<int>, grams array<long>, hot array<boolean>"
 #: Texts (spans, or single windows of hot ones) of a bucket: bytes, lengths, and where they are from.
 TEXTS = "bucket int, texts binary, lens binary, ids binary, marks binary, starts binary"
 
@@ -115,69 +117,99 @@ def _new(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _found(kind: int, ids, marks, starts, ends, grams=None, hot=None) -> list[tuple]:
-    """A row for each document, of flat arrays; covered intervals are merged."""
+def _found(kind: int, ids, marks, starts, ends, grams=None, hot=None):
+    """A row for each document, of flat arrays."""
+    import pyarrow as pa
+
     order = np.lexsort((starts, marks, ids))
-    ids, marks, starts, ends = ids[order], marks[order], starts[order], ends[order]
-    first, _ = _new(ids, marks) if len(ids) else (np.zeros(0, int), None)
-    rows = []
-    for a, b in zip(first.tolist(), np.append(first[1:], len(ids)).tolist()):
-        s, e = merged(starts[a:b], ends[a:b]) if kind == 0 else (starts[a:b], ends[a:b])
-        more = (None, None) if grams is None else (grams[order[a:b]].astype("<u8").tobytes(), hot[order[a:b]].astype(np.uint8).tobytes())
-        rows.append((int(ids[a]), int(marks[a]), kind, s.astype("<i4").tobytes(), e.astype("<i4").tobytes(), *more))
-    return rows
+    ids, marks = ids[order], marks[order]
+    first, _ = _new(ids, marks) if len(ids) else (np.zeros(0, np.int64), None)
+    bounds = pa.array(np.append(first, len(ids)).astype(np.int32))
+
+    def listed(x, t):
+        return pa.nulls(len(first), pa.list_(t)) if x is None else pa.ListArray.from_arrays(bounds, pa.array(x[order], t))
+
+    grams = None if grams is None else grams.astype(np.int64)
+    cols = (pa.array(ids[first]), pa.array(marks[first].astype(np.int64)), pa.array(np.full(len(first), kind, np.int32)), listed(starts, pa.int32()), listed(ends, pa.int32()), listed(grams, pa.int64()), listed(hot, pa.bool_()))
+    return pa.table(list(cols), names=[f.split()[0] for f in FOUND.split(", ")])
+
+
+def _joined(tables: list):
+    import pyarrow as pa
+
+    none = np.zeros(0, np.int64)
+    return pa.concat_tables([*tables, _found(0, none, none, none, none)])
+
+
+def _by_span(g: np.ndarray, w: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by k-gram, span and rank. Most k-grams occur once: only the others are sorted by more than the k-gram."""
+    order = np.argsort(g)
+    s = g[order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    several = np.flatnonzero(same[1:] | same[:-1])
+    some = order[several]
+    order[several] = some[np.lexsort((rank[some], w[some], g[some]))]
+    return order
 
 
 def _place(x: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(x) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block(bucket: int, kind: int, ids, marks, g=None, w=None, start=None, end=None) -> tuple:
+def _block(bucket: int, kind: int, ids, marks, doc=None, g=None, w=None, start=None, end=None) -> tuple:
     """Rows of one bucket, ordered by k-gram where there are any; ids and marks are held once for each document."""
-    if ids is None:
+    if doc is None:
         return bucket, kind, None, None, g.astype("<u8").tobytes(), None, None, None, None
-    who = np.stack([ids, marks.astype(np.int64)])
-    used, doc = np.unique(who, axis=1, return_inverse=True)
-    doc = doc.ravel()
+    used, doc = np.unique(doc, return_inverse=True)
     spread = None if g is None else _planes(np.diff(g, prepend=np.uint64(0)), 8)
-    return bucket, kind, used[0].tobytes(), used[1].astype("<u4").tobytes(), spread, None if w is None else _planes(w, 6), _planes(doc, 3), _planes(start, 4), _planes(end - start, 4)
+    return bucket, kind, ids[used].tobytes(), marks[used].astype("<u4").tobytes(), spread, None if w is None else _planes(w, 6), _planes(doc, 3), _planes(start, 4), _planes(end - start, 4)
+
+
+def _parted(place: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has rows, and these in their order."""
+    order = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        yield k, order[bounds[k] : bounds[k + 1]]
 
 
 def _blocks(buckets: int, skipped, length: int, gram: int):
     def run(batches: Iterator) -> Iterator:
         rolling, skip = Rolling(), skipped.value
         held: list[tuple] = []
-        total = 0
+        names: list[tuple] = []
+        total = known = 0
 
         def flush():
-            nonlocal held, total
-            ids, marks, g, w, start, end = (np.concatenate(c) for c in zip(*held))
-            held, total = [], 0
-            order = np.lexsort((ids, w, g))
-            ids, marks, g, w, start, end = (c[order] for c in (ids, marks, g >> HASH, w >> HASH, start, end))
+            nonlocal held, names, total, known
+            ids, marks = (np.concatenate(c) for c in zip(*names))
+            doc, g, w, start, end = (np.concatenate(c) for c in zip(*held))
+            held, names, total, known = [], [], 0, 0
+            order = _by_span(g, w, ids[doc])
+            doc, g, w, start, end = (c[order] for c in (doc, g, w, start, end))
+            g, w = g >> HASH, w >> HASH
             first, number = _new(g, w)
-            covered = ids > ids[first][number]
+            covered = ids[doc] > ids[doc[first]][number]
             rows = []
-            c = np.flatnonzero(covered)
-            for k in range(buckets) if len(c) else ():  # settled here; the intervals travel on by document
-                p = c[_place(ids[c].astype(np.uint64), buckets) == k]
-                if len(p):
-                    rows.append(_block(k, 3, ids[p], marks[p], None, None, start[p], end[p]))
-            ids, marks, g, w, start, end = (x[~covered] for x in (ids, marks, g, w, start, end))
+            if covered.any():  # settled here: merged intervals travel on by document
+                base = doc[covered].astype(np.int64) << 32
+                s, e = merged(base + start[covered], base + end[covered])
+                d = s >> 32
+                base = d << 32
+                for k, p in _parted(_place(ids[d].astype(np.uint64), buckets), buckets):
+                    rows.append(_block(k, 3, ids, marks, d[p], None, None, (s - base)[p], (e - base)[p]))
+            doc, g, w, start, end = (x[~covered] for x in (doc, g, w, start, end))
             gfirst, gnumber = _new(g)
             cfirst, _ = _new(g, w)
             many = np.bincount(gnumber[cfirst], minlength=len(gfirst)) >= HOT
             hot = many[gnumber]
             for kind, some in ((0, np.flatnonzero(~hot)), (1, np.flatnonzero(hot))):
-                place = _place(g[some] if kind == 0 else w[some], buckets)
-                by = np.argsort(place, kind="stable")
-                bounds = np.searchsorted(place[by], np.arange(buckets + 1))
-                for k in range(buckets):
-                    p = some[by[bounds[k] : bounds[k + 1]]]
-                    if len(p):
-                        rows.append(_block(k, kind, ids[p], marks[p], g[p], w[p], start[p], end[p]))
-            place = _place(g[gfirst[many]], buckets)
-            rows += [_block(int(k), 2, None, None, g[gfirst[many]][place == k]) for k in np.unique(place)]
+                for k, p in _parted(_place(g[some] if kind == 0 else w[some], buckets), buckets):
+                    p = some[p]
+                    rows.append(_block(k, kind, ids, marks, doc[p], g[p], w[p], start[p], end[p]))
+            h = g[gfirst[many]]
+            rows += [_block(k, 2, None, None, None, h[p]) for k, p in _parted(_place(h, buckets), buckets)]
             return _table(BLOCK, rows).to_batches()
 
         for rows_, data, offs in text_chunks(batches, budget=SEGMENT):
@@ -186,15 +218,17 @@ def _blocks(buckets: int, skipped, length: int, gram: int):
                 parts = [(0, data, offs)]
             else:  # one long text, in stretches that share all but one byte of a window
                 parts = [(a, data[a : a + SEGMENT + length - 1], None) for a in range(0, len(data) - length + 1, SEGMENT)]
+            names.append((ids, marks))
             for begin, part, bounds in parts:
                 bounds = np.array([0, len(part)]) if bounds is None else bounds
                 g, w, doc, start, last = spans(part, bounds, rolling, length, gram)
-                keep = ~np.isin(ids[doc], skip) if len(skip) else np.ones(len(doc), bool)
-                doc, start = doc[keep], start[keep] + begin
-                held.append((ids[doc], marks[doc], g[keep], w[keep], start, start + last[keep] + length))
-                total += len(doc)
-                if total >= BATCH_ENTRIES:
-                    yield from flush()
+                keep = ~np.isin(ids, skip)[doc] if len(skip) else np.ones(len(doc), bool)
+                start = start[keep] + begin
+                held.append((doc[keep] + known, g[keep], w[keep], start, start + last[keep] + length))
+                total += len(start)
+            known += len(ids)
+            if total >= BATCH_ENTRIES:
+                yield from flush()
         if total:
             yield from flush()
 
@@ -209,72 +243,65 @@ def _matched(_, rows):
             got[2].append(np.frombuffer(grams, "<u8"))
             continue
         doc = _unplanes(docs, 3).astype(np.int64)
-        start = _unplanes(starts, 4).astype(np.int64)
+        start = _unplanes(starts, 4).astype(np.int32)
         g = np.cumsum(_unplanes(grams, 8)) if grams is not None else np.zeros(len(doc), np.uint64)
         w = _unplanes(wholes, 6) if wholes is not None else np.zeros(len(doc), np.uint64)
-        got[kind].append((np.frombuffer(ids, np.int64)[doc], np.frombuffer(marks, "<u4")[doc].astype(np.int64), g, w, start, start + _unplanes(lens, 4).astype(np.int64)))
+        got[kind].append((np.frombuffer(ids, np.int64)[doc], np.frombuffer(marks, "<u4")[doc], g, w, start, start + _unplanes(lens, 4).astype(np.int32)))
     out = []
     if got[3]:
         ids, marks, _, _, start, end = (np.concatenate(c) for c in zip(*got[3]))
-        out += _found(0, ids, marks, start, end)
+        out.append(_found(0, ids, marks, start, end))
     shared = np.unique(np.concatenate(got[2])) if got[2] else np.zeros(0, np.uint64)
     for kind in (0, 1):
         if not got[kind]:
             continue
         ids, marks, g, w, start, end = (np.concatenate(c) for c in zip(*got[kind]))
-        order = np.lexsort((ids, w, g))
+        got[kind] = []
+        order = _by_span(g, w, ids)
         ids, marks, g, w, start, end = (c[order] for c in (ids, marks, g, w, start, end))
         first, number = _new(g, w)
         covered = ids > ids[first][number]
-        out += _found(0, ids[covered], marks[covered], start[covered], end[covered])
+        out.append(_found(0, ids[covered], marks[covered], start[covered], end[covered]))
         gfirst, gnumber = _new(g)
         of_class = gnumber[first]
         classes = np.bincount(of_class, minlength=len(gfirst))
-        low = np.minimum.reduceat(ids[first], np.searchsorted(of_class, np.arange(len(gfirst))))
-        high = np.maximum.reduceat(ids[first], np.searchsorted(of_class, np.arange(len(gfirst))))
+        at = np.searchsorted(of_class, np.arange(len(gfirst)))
+        low, high = np.minimum.reduceat(ids[first], at), np.maximum.reduceat(ids[first], at)
         told = np.isin(g[gfirst], shared) if kind == 0 else np.ones(len(gfirst), bool)
         need = told | (classes > 1) & (high > low)
         hot = told | (classes >= HOT)
         ask = ~covered & need[gnumber]
-        out += _found(1, ids[ask], marks[ask], start[ask], end[ask], g[ask], hot[gnumber][ask])
-    return _table(FOUND, out)
+        out.append(_found(1, ids[ask], marks[ask], start[ask], end[ask], g[ask], hot[gnumber][ask]))
+    return _joined(out)
 
 
 def _texts(buckets: int, length: int):
     """Texts of the spans that ask for it, by bucket of their k-gram; of hot ones, each window by its own hash."""
 
     def run(batches: Iterator) -> Iterator:
-        import zlib
-
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush():
-            nonlocal held, size
-            rows = []
-            for k, items in sorted(held.items()):
-                texts, ids, marks, starts = zip(*items)
-                rows.append((k, b"".join(texts), np.array([len(t) for t in texts], "<u4").tobytes(), np.array(ids, np.int64).tobytes(), np.array(marks, "<u4").tobytes(), np.array(starts, "<i4").tobytes()))
-            held, size = {}, 0
-            return _table(TEXTS, rows).to_batches()
-
+        rolling = Rolling()
         for batch in batches:
-            for key, mark, text, asked in zip(batch.column("key").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), batch.column("asked").to_pylist()):
-                raw = text.as_py()
-                for item in asked:
-                    g = np.frombuffer(item["grams"], "<u8")
-                    for s, e, hot, place in zip(np.frombuffer(item["starts"], "<i4").tolist(), np.frombuffer(item["ends"], "<i4").tolist(), item["hot"], _place(g, buckets).tolist()):
-                        if hot:
-                            for a in range(s, e - length + 1):
-                                window = raw[a : a + length]
-                                held.setdefault(zlib.crc32(window) % buckets, []).append((window, key, mark, a))
-                        else:
-                            held.setdefault(place, []).append((raw[s:e], key, mark, s))
-                        size += (e - s) * (e - s if hot else 1)
-                if size > 8 << 20:
-                    yield from flush()
-        if held:
-            yield from flush()
+            for rows_, data, offs in text_chunks([batch], budget=1 << 20):
+                keys, marks = rows_.column(0).to_numpy(), rows_.column(1).to_numpy()
+                asked = [rows_.column(rows_.schema.get_field_index(c)) for c in ("starts", "ends", "grams", "hot")]
+                doc = np.repeat(np.arange(len(keys)), np.diff(asked[0].offsets.to_numpy()))
+                start, end, g, hot = (a.flatten().to_numpy(zero_copy_only=False) for a in asked)
+                start = start.astype(np.int64) + offs[doc]
+                size = end - asked[0].flatten().to_numpy()
+                place = _place(g.astype(np.uint64), buckets)
+                if hot.any():  # each window of a hot span for itself
+                    many = size[hot] - length + 1
+                    s = np.repeat(start[hot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    rolling.over(data)
+                    place = np.concatenate((place[~hot], _place(rolling.of(s, s + length), buckets)))
+                    doc = np.concatenate((doc[~hot], np.repeat(doc[hot], many)))
+                    start, size = np.concatenate((start[~hot], s)), np.concatenate((size[~hot], np.full(len(s), length)))
+                rows = []
+                for k, p in _parted(place, buckets):
+                    n = size[p].astype(np.int64)
+                    texts = data[np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    rows.append((k, texts.tobytes(), n.astype("<u4").tobytes(), keys[doc[p]].tobytes(), marks[doc[p]].astype("<u4").tobytes(), (start[p] - offs[doc[p]]).astype("<i4").tobytes()))
+                yield from _table(TEXTS, rows).to_batches()
 
     return run
 
@@ -332,10 +359,11 @@ def equal_suffixes(text: np.ndarray, places: np.ndarray, length: int) -> Iterato
 
     Multikey quicksort takes words of 8 bytes as keys: each round splits all groups that are still equal by their next word, and
     drops what stands alone, until SHALLOW bytes are equal; blind tries sort the groups that remain."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
     word = np.zeros(len(text), np.uint64)
     for i in range(8):
-        word = word << np.uint64(8) | padded[i : i + len(text)]
+        word <<= np.uint64(8)
+        word |= padded[i : i + len(text)]
     group = np.zeros(len(places), np.int64)
     for depth in range(0, min(SHALLOW, length) // 8 * 8, 8):
         key = word[places + depth]
@@ -379,7 +407,7 @@ def _compared(length: int):
         p = np.concatenate(hit)
         o = np.searchsorted(begin, p, "right") - 1
         s = starts[o] + p - begin[o]
-        return _table(FOUND, _found(0, ids[o], marks[o], s, s + length))
+        return _found(0, ids[o], marks[o], s, s + length)
 
     return run
 
@@ -390,17 +418,16 @@ def _compared(length: int):
 def _kept(full: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for text, covers, whole in zip(batch.column("text"), batch.column("covers").to_pylist(), batch.column("whole").to_pylist()):
+            flat = [batch.column(batch.schema.get_field_index(c)) for c in ("starts", "ends")]
+            bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(flat[0]), 0).to_numpy())))
+            starts, ends = (f.flatten().to_numpy().astype(np.int64) for f in flat)
+            for i, (text, whole) in enumerate(zip(batch.column("text"), batch.column("whole").to_pylist())):
                 raw = text.as_py()
-                if whole:
-                    s, e = np.array([0]), np.array([len(raw)])
-                else:
-                    s = np.concatenate([np.frombuffer(c["starts"], "<i4") for c in covers or []] or [np.zeros(0, "<i4")]).astype(np.int64)
-                    e = np.concatenate([np.frombuffer(c["ends"], "<i4") for c in covers or []] or [np.zeros(0, "<i4")]).astype(np.int64)
-                    s, e = merged(s, e)
+                s, e = (np.array([0]), np.array([len(raw)])) if whole else merged(starts[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]])
                 kept = b"".join(raw[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(raw)])) if len(s) else raw
                 for col, v in zip(cols, (len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept)):
                     col.append(v)
@@ -433,13 +460,18 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, full: bool
     blocks = docs.select("key", "mark", "text").mapInArrow(_blocks(buckets, shared, length, gram), BLOCK)
     found = saved(blocks.groupBy("bucket").applyInArrow(_matched, FOUND), "substr-found")
     release(spark)
-    asked = found.filter("kind = 1").groupBy("key", "mark").agg(F.collect_list(F.struct("starts", "ends", "grams", "hot")).alias("asked"))
-    texts = docs.join(asked, ["key", "mark"]).select("key", "mark", "text", "asked").mapInArrow(_texts(buckets, length), TEXTS)
+    lists = lambda *names: [F.flatten(F.collect_list(c)).alias(c) for c in names]
+    want = found.filter("kind = 1")
+    spans_asked = want.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+    asked = want.groupBy("key", "mark").agg(*lists("starts", "ends", "grams", "hot"))
+    smaller = max(16, -(-spans_asked // BUCKET_SPANS))
+    texts = docs.join(asked, ["key", "mark"]).select("key", "mark", "text", "starts", "ends", "grams", "hot").mapInArrow(_texts(smaller, length), TEXTS)
     more = saved(texts.groupBy("bucket").applyInArrow(_compared(length), FOUND), "substr-more")
     release(spark)
-    covers = found.filter("kind = 0").unionByName(more).select("key", "mark", F.struct("starts", "ends").alias("cover"), F.lit(False).alias("whole"))
+    covers = found.filter("kind = 0").unionByName(more).select("key", "mark", "starts", "ends", F.lit(False).alias("whole"))
     if len(skip):
-        covers = covers.unionByName(copies.select("key", "mark", F.lit(None).cast("struct<starts:binary,ends:binary>").alias("cover"), F.lit(True).alias("whole")))
-    covers = covers.groupBy("key", "mark").agg(F.collect_list("cover").alias("covers"), F.max("whole").alias("whole"))
+        none = F.array().cast("array<int>")
+        covers = covers.unionByName(copies.select("key", "mark", none.alias("starts"), none.alias("ends"), F.lit(True).alias("whole")))
+    covers = covers.groupBy("key", "mark").agg(*lists("starts", "ends"), F.max("whole").alias("whole"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
-    return docs.join(covers, ["key", "mark"], "left").select("doc_id", "text", "covers", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_kept(full), schema)
+    return docs.join(covers, ["key", "mark"], "left").select("doc_id", "text", "starts", "ends", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_kept(full), schema)
