@@ -1,4 +1,8 @@
-"""The gram index: Parquet postings (gram, file_id) sorted by gram, document counts of grams, and the file states.
+"""The gram index: Parquet postings (gram, file_id), document counts of grams, and the file states.
+
+Postings lie in folders by the grams' leading bits, so that a lookup opens few files, and are sorted by gram within each file, so that it
+reads few row groups. Rows are dealt to tasks by folder and a hash of the row: a gram that all documents hold is spread like any
+other, and the texts are gone through once (dealing by sampled ranges would extract the grams twice).
 
 Each build writes a new generation folder and switches the CURRENT file last, so readers never see a half-written index
 and a plan never overwrites what it reads.
@@ -19,7 +23,9 @@ from gramlode.functions.grams import extract
 from gramlode.sources import storage
 from gramlode.sources.corpus import MAX_FILE_SIZE, status
 
-FORMAT = 1
+FORMAT = 2
+#: Text bytes for which a folder, or a part of one, is made; an upper bound of the postings.
+FOLDER_BYTES, MOST_FOLDER_BITS = 64 << 20, 8
 FILES = "file_id long, path string, size long, mtime_ns long, status string"
 
 
@@ -108,8 +114,13 @@ class Index:
     def gram_count(self) -> int:
         return self.meta["ngram_count"]
 
+    def rows_of(self, grams: list[int]) -> DataFrame:
+        """Postings of some grams: folders are pruned by their leading bits, row groups by the grams."""
+        shift = self.meta["folder_shift"]
+        return self.postings.filter(F.col("folder").isin(sorted({g >> shift for g in grams})) & F.col("gram").isin(grams)).select("gram", "file_id")
+
     def lookup(self, gram: int) -> DataFrame:
-        return self.postings.filter(F.col("gram") == gram).select("file_id")
+        return self.rows_of([gram]).select("file_id")
 
     def df_of(self, grams: list[int]) -> dict[int, int]:
         return {r.gram: r.df for r in self.grams.filter(F.col("gram").isin(grams)).collect()} if grams else {}
@@ -118,11 +129,18 @@ class Index:
         return storage.total_size(self.spark, f"{self.path}/{self.generation}")
 
 
-def _write(spark: SparkSession, path: str, postings: DataFrame, files: DataFrame, extra: dict, began: float) -> Index:
+def _write(spark: SparkSession, path: str, postings: DataFrame, files: DataFrame, extra: dict, began: float, size: int) -> Index:
+    """``size``: bytes of all indexed texts."""
     generation = f"gen-{uuid.uuid4().hex}"
     out = f"{path}/{generation}"
-    # sampled ranges spread a common gram's rows over several tasks, too: the id is part of the sort key
-    postings.repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.parquet(f"{out}/postings")
+    bits = min(MOST_FOLDER_BITS, (size // FOLDER_BYTES).bit_length())
+    parts = max(1, size // (FOLDER_BYTES << bits))
+    tasks = max(spark.sparkContext.defaultParallelism, parts << bits)
+    spread = max(parts, -(-spark.sparkContext.defaultParallelism >> bits))
+    folder = F.shiftright("gram", 24 - bits).alias("folder")
+    dealt = postings.select("gram", "file_id", folder).repartition(tasks, "folder", F.pmod(F.xxhash64("gram", "file_id"), F.lit(spread)))
+    dealt.sortWithinPartitions("folder", "gram", "file_id").write.partitionBy("folder").parquet(f"{out}/postings")
+    extra = {"folder_shift": 24 - bits} | extra
     written = spark.read.parquet(f"{out}/postings")
     written.groupBy("gram").agg(F.count("*").alias("df")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{out}/grams")
     files.select("file_id", "path", "size", "mtime_ns", "status").write.parquet(f"{out}/files")
@@ -144,7 +162,9 @@ def with_status(corpus: DataFrame, max_size: int) -> DataFrame:
 def build(corpus: DataFrame, path: str, max_size: int = MAX_FILE_SIZE, extra: dict | None = None) -> Index:
     began = time.time()
     marked = with_status(corpus, max_size)
-    return _write(corpus.sparkSession, path, postings_of(marked.filter("status = 'indexed'")), marked, {"max_file_size": max_size} | (extra or {}), began)
+    indexed = marked.filter("status = 'indexed'")
+    size = indexed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return _write(corpus.sparkSession, path, postings_of(indexed), marked, {"max_file_size": max_size} | (extra or {}), began, size)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -175,4 +195,5 @@ def update(index: Index, corpus: DataFrame, changes: DataFrame) -> Index:
     postings = index.postings.join(dirty, "file_id", "left_anti").select("gram", "file_id").unionByName(postings_of(fresh.filter("status = 'indexed'")))
     files = index.states.join(dirty, "file_id", "left_anti").select("file_id", "path", "size", "mtime_ns", "status").unionByName(fresh.select("file_id", "path", "size", "mtime_ns", "status"))
     extra = {k: v for k, v in index.meta.items() if k in ("max_file_size", "root", "git_head")}
-    return _write(spark, index.path, postings, files, extra, began)
+    size = files.filter("status = 'indexed'").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return _write(spark, index.path, postings, files, extra, began, size)

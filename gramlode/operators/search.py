@@ -19,7 +19,7 @@ def candidates(index: Index, plan: gp.Plan) -> DataFrame:
     grams = gp.grams_of(plan)
     if isinstance(plan, gp.FullScan):
         return index.files.select("file_id")
-    return index.postings.filter(F.col("gram").isin(grams)).groupBy("file_id").agg(gp.presence(plan).alias("have")).filter(gp.holds(plan, F.col("have"))).select("file_id")
+    return index.rows_of(grams).groupBy("file_id").agg(gp.presence(plan).alias("have")).filter(gp.holds(plan, F.col("have"))).select("file_id")
 
 
 def filtered(files: DataFrame, path_filter: str | None) -> DataFrame:

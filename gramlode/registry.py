@@ -328,7 +328,7 @@ def _incremental(spark: SparkSession, sf_dir: str) -> ix.Index:
 
 def incremental_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = [gp.gram_key(g) for g in (b"the", b"edi", b"eau")]
-    return _incremental(spark, sf_dir).postings.filter(F.col("gram").isin(grams))
+    return _incremental(spark, sf_dir).rows_of(grams)
 
 
 def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,15 @@ def test_search_semantics(spark, tmp_path):
         assert find(p, **flags) == rows(se.scan(corpus, p, **flags), "path", "line_number")
 
 
+def test_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "FOLDER_BYTES", 40)
+    put(tmp_path, {f"{i}.txt": f"{'abc xyz é' * i}" for i in range(30)})
+    corpus = co.directory_corpus(spark, str(tmp_path))
+    index = ix.build(corpus, str(tmp_path / "i"))
+    assert index.meta["folder_shift"] == 17 and index.rows_of([0x616263, 0xC3A961]).count() == 29 + 28
+    assert sorted(rows(index.postings, "gram", "file_id")) == sorted(rows(ix.postings_of(corpus), "gram", "file_id"))
+
+
 def test_dense_ids(spark):
     names = ["zebra.py", "alpha.py", "middle.py", "sub/beta.py", "é", "Z"]
     df = spark.createDataFrame([(n,) for n in names], "path string").repartition(3)
@@ -132,6 +141,6 @@ def test_cli(here, capsys):
 
 
 def test_nothing_imports_llm():
-    code = "import sys, __spark_entry__, gramlode.cli, gramlode.registry; print([m for m in sys.modules if m.startswith('gramlode.llm')])"
+    code = "import sys, gramlode.cli, gramlode.registry; print([m for m in sys.modules if m.startswith('gramlode.llm')])"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "[]"
