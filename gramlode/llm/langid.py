@@ -21,7 +21,7 @@ from gramlode.llm.common import text_chunks
 
 BUCKETS, ORDERS, SMOOTH = 1 << 16, (1, 2, 3, 4), 0.5
 #: Documents of a language that train, in the mean: a sample by hash, documented bound. Languages, at most.
-TRAIN_DOCS, MOST_LANGUAGES = 4000, 512
+TRAIN_DOCS, MOST_LANGUAGES = 4000, 128
 BLOCK = 1 << 19
 
 
@@ -121,10 +121,13 @@ def score_texts(data: np.ndarray, offs: np.ndarray, matrix: np.ndarray, tables)
     """Sums of log probabilities of each text (sparse rows times the matrix), and their numbers of n-grams."""
     n = len(offs) - 1
     sums, counts = np.zeros((n, matrix.shape[1])), np.zeros(n)
-    for cell, doc in features(data, offs, tables):
-        new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        sums[doc[new]] += np.add.reduceat(matrix[cell], new, axis=0)
-        counts[doc[new]] += np.add.reduceat((cell < BUCKETS).astype(float), new)
+    step = max(4096, (1 << 21) // max(1, matrix.shape[1]))  # bounds the memory whatever the number of languages
+    for cells, docs in features(data, offs, tables):
+        for at in range(0, len(cells), step):
+            cell, doc = cells[at : at + step], docs[at : at + step]
+            new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            sums[doc[new]] += np.add.reduceat(matrix[cell], new, axis=0)
+            counts[doc[new]] += np.add.reduceat((cell < BUCKETS).astype(float), new)
     return sums, counts
 
 
