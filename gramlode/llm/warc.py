@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from gramlode.llm.common import saved
 
-#: Bytes of an archive row, revisits that are broadcast at most (beyond, they are joined by a shuffle), captures in a range.
-ARCHIVE_BYTES, BROADCAST_ROWS, RANGE_ROWS = 8 << 20, 500_000, 20_000
+#: Bytes of an archive row, revisits that are broadcast at most (beyond, they are joined by a shuffle), captures in a range in the mean,
+#: ranges at most (with more captures, ranges grow) and keys sampled for each.
+ARCHIVE_BYTES, BROADCAST_ROWS, RANGE_ROWS, MOST_RANGES, SAMPLED = 8 << 20, 500_000, 20_000, 20_000, 8
 #: Seconds since 1970 to which the page_id is added where a page has no time of its own.
 START = 1_704_067_200
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -234,10 +235,10 @@ def history(archives: DataFrame) -> DataFrame:
     """All captures in global order: (range, position) sorts them; prior_ts is the URL key's capture before, within its range."""
     runs = saved(_runs(archives), "warc-runs")
     n = runs.count()
-    ranges = max(1, -(-n // RANGE_ROWS))
-    # boundaries from a sample by hash: their number is bounded by 64 a range, whatever the number of captures
+    ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
+    # boundaries from a sample by hash, of MOST_RANGES * SAMPLED keys at most in the mean
     key = F.struct("url_key", "ts", F.coalesce("page_id", F.lit(-1)).alias("page_id"))
-    share = min(1.0, 64 * ranges / max(n, 1))
+    share = min(1.0, SAMPLED * ranges / max(n, 1))
     sample = sorted(tuple(r.k) for r in runs.filter(F.pmod(F.xxhash64("url_key", "ts", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select(key.alias("k")).collect()) if ranges > 1 else []
     bounds = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
 
