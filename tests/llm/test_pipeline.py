@@ -112,3 +112,20 @@ def test_held_out_is_not_trained_on(spark):
     docs = spark.createDataFrame([(i, "the of and", "en", "a", 3) for i in range(50)], SCHEMA)
     assert 0 < docs.filter(langid.held_out()).count() < 50
     assert P.PATTERN
+
+
+def test_extra_columns_and_nulls(spark):
+    """Columns of a stage's own names, nulls in any column, a very long text."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "the of and to in " * 30_000, "en", None, None), (2, None, None, None, None), (None, "la les des et une dans est que", None, "a", 3), (3, "the of and mail a@b.cd", None, "a", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("found", "spans", "base", "copies", "size", "row", "score", "lang_pred", "n", "fp", "key", "words_of", "no_text", "a", "s"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs = docs.unionByName(docs.limit(1).withColumn("lang", F.lit("en")).withColumn("doc_id", F.lit(9).cast("long")).withColumn("text", F.lit("the and of to")))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == list(cp.COLUMNS)
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert kept.keys() <= {1, None, 3, 9} and 1 in kept
+    assert cp.tokens(spark, docs, "").filter("not round_trip").count() == 0
