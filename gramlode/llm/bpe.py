@@ -19,8 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces that a Python worker remembers, and the longest of them in bytes; beyond, they are encoded anew.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 256
+from gramlode.llm.common import lean, text_chunks
+
+#: Distinct pieces that a task remembers, and the longest of them in bytes; beyond, they are encoded anew.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 256
 #: Above every rank.
 NEVER = 1 << 62
 #: Bytes of a leaf of the tree, encoded by the plain rule.
@@ -70,7 +72,7 @@ class Monoid:
         found = self.settled.get(key)
         if found is None:
             found = self.window(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.settled) > 1_000_000:
+            if len(self.settled) > 200_000:
                 self.settled.clear()
             self.settled[key] = found
         return found
@@ -124,26 +126,15 @@ class Known(dict):
         return ids
 
 
-def _known(path: str) -> Known:
-    """One for each Python worker, which Spark uses for many tasks: an encoding depends on the piece alone."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_remembered_pieces", types.ModuleType("_remembered_pieces")).__dict__
-    if path not in kept:
-        kept[path] = Known(Monoid(read_ranks(path)))
-    return kept[path]
-
-
 def _encoded(path: str, pattern: str, keep: int, ids: bool, decoded: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import regex
 
-        known = _known(path)
-        monoid = known.monoid
+        monoid = Monoid(read_ranks(path))
+        known = Known(monoid)
         pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
-        for batch in batches:
+        for batch, _, _ in text_chunks(batches):  # small steps: tokens take more room than texts
             counts, ids_sha, back_sha, packs, backs = [], [], [], [], []
             for value in batch.column(keep):
                 packed = b"".join(map(known.__getitem__, pieces(value.as_py() or "")))
@@ -173,5 +164,5 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep: tuple[st
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of each text, and on demand ids and the decoded bytes."""
     kept = [docs[c].alias(f"c{i}") for i, c in enumerate(keep)]
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded binary" * decoded
-    out = docs.select(*kept, docs["text"].cast("string").alias("text")).mapInArrow(_encoded(ranks_path, pattern, len(keep), ids, decoded), schema)
+    out = docs.select(*kept, docs["text"].cast("string").alias("text")).mapInArrow(lean(_encoded(ranks_path, pattern, len(keep), ids, decoded)), schema)
     return out.toDF(*keep, *out.columns[len(keep) :])
