@@ -67,6 +67,43 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def _trim() -> None:
+    """Gives memory that the worker has freed back to the system: Spark keeps its Python workers, and with them their heaps."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """A mapInArrow function that trims its worker's memory when it ends."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return inner
+
+
+def lean_group(run):
+    """The same for a function of (key, rows), or of two groups."""
+
+    def inner(a, b):
+        try:
+            return run(a, b)
+        finally:
+            _trim()
+
+    return inner
+
+
 def text_chunks(batches, column: str = "text", budget: int = CHUNK_BYTES):
     """Of each Arrow batch, slices whose texts hold at most ``budget`` bytes (one row at least): the slice, the
     texts' UTF-8 bytes in one array, and where each begins and the last ends. A null is an empty text."""

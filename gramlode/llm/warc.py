@@ -21,7 +21,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import saved
+from gramlode.llm.common import lean, lean_group, saved
 
 #: Bytes of an archive row, revisits that are broadcast at most (beyond, they are joined by a shuffle), captures in a range in the mean,
 #: ranges at most (with more captures, ranges grow) and keys sampled for each.
@@ -113,7 +113,7 @@ def write_warc(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     copies = copies.withColumnRenamed("page_id", "p").withColumnRenamed("payload_digest", "d")
     full = pages.withColumn("payload_digest", base32_sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
     full = full.join(copies, full.payload_digest.eqNullSafe(F.col("d")) & full.page_id.eqNullSafe(F.col("p")), "left").drop("p", "d")
-    return saved(full.mapInArrow(_write, "archive string, warc binary"), "warc")
+    return saved(full.mapInArrow(lean(_write), "archive string, warc binary"), "warc")
 
 
 def parse(warc: bytes) -> Iterator[tuple[dict, bytes, int, int]]:
@@ -221,7 +221,7 @@ def _runs(archives: DataFrame) -> DataFrame:
                 cols = list(zip(*run))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], schema=pa.schema(fields))
 
-    return archives.mapInArrow(read, CAPTURE)
+    return archives.mapInArrow(lean(read), CAPTURE)
 
 
 def _arrow_fields():
@@ -270,7 +270,7 @@ def history(archives: DataFrame) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(range(len(out)), pa.int64()), pa.array(prior, pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, fields))], names=["range", "position", "prior_ts", *(f.name for f in fields)])
 
     cut = runs.mapInArrow(sliced, f"range int, {CAPTURE}")
-    return cut.groupBy("range").applyInArrow(merged, f"range int, position long, prior_ts long, {CAPTURE}")
+    return cut.groupBy("range").applyInArrow(lean_group(merged), f"range int, position long, prior_ts long, {CAPTURE}")
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
