@@ -25,12 +25,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import Rolling, drop_saved, mixed, release, saved, text_chunks, word_bounds
+from gramlode.llm.common import Rolling, drop_saved, lean, lean_group, mixed, release, saved, text_chunks, word_bounds
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, SIMILAR = 4, 85
 #: Shingles and documents of a batch; shingles of a bucket in the mean; documents of a batch from which a shingle is hot.
-BATCH_SHINGLES, BATCH_DOCS, BUCKET_SHINGLES, HOT = 4_000_000, 60_000, 1 << 21, 512
+BATCH_SHINGLES, BATCH_DOCS, BUCKET_SHINGLES, HOT = 1_500_000, 60_000, 1 << 19, 512
 #: Copies whose ids are broadcast so that they are not indexed (8 bytes each); with more, they are indexed, too.
 SKIPPED = 2_000_000
 #: Pivots that a shingle's documents are verified against before pairs are.
@@ -304,7 +304,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    return once.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_verified(similar), EDGE)
+    return once.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(lean(_verified(similar)), EDGE)
 
 
 def _possible(similar: int) -> Column:
@@ -351,7 +351,7 @@ def join(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR) -> Data
     """doc_id, n_shingles and component_id of each document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = saved(docs.mapInArrow(_rows(words), "doc_id long, n long, fp binary"), "join-rows")
+    rows = saved(docs.mapInArrow(lean(_rows(words)), "doc_id long, n long, fp binary"), "join-rows")
     classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     total, ids, some = rows.agg(F.sum("n"), F.countDistinct("doc_id"), F.count("*")).first()
     linked = None
@@ -380,9 +380,9 @@ def _partners(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
         skip = np.sort(some) if len(some) <= SKIPPED else skip
     buckets = max(16, -(-total // BUCKET_SHINGLES))
     shared = spark.sparkContext.broadcast(skip)
-    blocks = docs.mapInArrow(_blocks(words, buckets, shared), BLOCK)
-    answers = blocks.groupBy("bucket").applyInArrow(_answer, ANSWER)
-    able = answers.groupBy("batch").applyInArrow(_gathered(similar), "fp binary, n long, keys array<long>")
+    blocks = docs.mapInArrow(lean(_blocks(words, buckets, shared)), BLOCK)
+    answers = blocks.groupBy("bucket").applyInArrow(lean_group(_answer), ANSWER)
+    able = answers.groupBy("batch").applyInArrow(lean_group(_gathered(similar)), "fp binary, n long, keys array<long>")
     if not unique or len(skip) == 0:
         able = able.dropDuplicates(["fp"])
     return saved(able.withColumn("node", F.monotonically_increasing_id()), "join-sets")
