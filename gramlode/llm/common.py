@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker looks at in one step, unless a single text is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _made: list = []
 

@@ -24,12 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import Rolling, mixed, release, saved, text_chunks
+from gramlode.llm.common import Rolling, lean, lean_group, mixed, release, saved, text_chunks
 
 #: Bytes of a string that counts as repeated, and of the k-gram at its anchor.
 LENGTH, GRAM = 50, 20
 #: Text of a bucket in the mean, entries of a batch, different spans of a k-gram in a batch from which it is hot, whole copies whose ids are broadcast, bytes looked at together.
-BUCKET_BYTES, BATCH_ENTRIES, HOT, SKIPPED, SEGMENT = 32 << 20, 1_000_000, 256, 2_000_000, 2 << 20
+BUCKET_BYTES, BATCH_ENTRIES, HOT, SKIPPED, SEGMENT = 8 << 20, 1_000_000, 256, 2_000_000, 1 << 20
 #: Spans whose text is compared in one bucket, in the mean.
 BUCKET_SPANS = 30_000
 #: Bytes that multikey quicksort compares; longer common prefixes are left to blind tries.
@@ -457,16 +457,16 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, full: bool
         skip = np.sort(some) if len(some) <= SKIPPED else skip
     buckets = max(16, -(-total // BUCKET_BYTES))
     shared = spark.sparkContext.broadcast(skip)
-    blocks = docs.select("key", "mark", "text").mapInArrow(_blocks(buckets, shared, length, gram), BLOCK)
-    found = saved(blocks.groupBy("bucket").applyInArrow(_matched, FOUND), "substr-found")
+    blocks = docs.select("key", "mark", "text").mapInArrow(lean(_blocks(buckets, shared, length, gram)), BLOCK)
+    found = saved(blocks.groupBy("bucket").applyInArrow(lean_group(_matched), FOUND), "substr-found")
     release(spark)
     lists = lambda *names: [F.flatten(F.collect_list(c)).alias(c) for c in names]
     want = found.filter("kind = 1")
     spans_asked = want.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
     asked = want.groupBy("key", "mark").agg(*lists("starts", "ends", "grams", "hot"))
     smaller = max(16, -(-spans_asked // BUCKET_SPANS))
-    texts = docs.join(asked, ["key", "mark"]).select("key", "mark", "text", "starts", "ends", "grams", "hot").mapInArrow(_texts(smaller, length), TEXTS)
-    more = saved(texts.groupBy("bucket").applyInArrow(_compared(length), FOUND), "substr-more")
+    texts = docs.join(asked, ["key", "mark"]).select("key", "mark", "text", "starts", "ends", "grams", "hot").mapInArrow(lean(_texts(smaller, length)), TEXTS)
+    more = saved(texts.groupBy("bucket").applyInArrow(lean_group(_compared(length)), FOUND), "substr-more")
     release(spark)
     covers = found.filter("kind = 0").unionByName(more).select("key", "mark", "starts", "ends", F.lit(False).alias("whole"))
     if len(skip):
@@ -474,4 +474,4 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, full: bool
         covers = covers.unionByName(copies.select("key", "mark", none.alias("starts"), none.alias("ends"), F.lit(True).alias("whole")))
     covers = covers.groupBy("key", "mark").agg(*lists("starts", "ends"), F.max("whole").alias("whole"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
-    return docs.join(covers, ["key", "mark"], "left").select("doc_id", "text", "starts", "ends", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_kept(full), schema)
+    return docs.join(covers, ["key", "mark"], "left").select("doc_id", "text", "starts", "ends", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(lean(_kept(full)), schema)
