@@ -22,9 +22,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import saved
+from gramlode.llm.common import lean_group, saved
 
-#: Bits of a code (a multiple of 64), vectors that train, queries that calibrate, and the share of their neighbours within the radius.
+#: Bits of a code (a multiple of 64), vectors that train and queries that calibrate (in the mean), and the share of their neighbours within the radius.
 BITS, TRAIN_ROWS, CALIBRATE, QUANTILE = 128, 8192, 128, 0.97
 #: Rows of an index block, and queries of a group.
 BLOCK_ROWS, GROUP_QUERIES = 20_000, 10_000
@@ -45,10 +45,10 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     return some.filter(F.size("v") == (common.n if common else 0))
 
 
-def _sample(vecs: DataFrame, rows: int, seed: int) -> np.ndarray:
-    """The rows with the least hashes: bounded, and the same in each run."""
-    got = vecs.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(rows).collect()
-    return np.array([r.v for r in got])
+def _some(vecs: DataFrame, rows: int, n: int, seed: int) -> DataFrame:
+    """About ``rows`` of ``n`` rows, all if there are not more: a share by hash, the same in each run, whose size does not grow."""
+    share = min(1.0, rows / max(n, 1))
+    return vecs.filter(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def learn_rotations(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 7) -> np.ndarray:
@@ -177,7 +177,7 @@ def _answers(vecs: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, r
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = vecs.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", numbers(groups))
     asked = queries.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(groups))).withColumn("block", numbers(blocks))
-    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(_block_search(rotations, radius, k), "query_id long, vec_id long, score double, away int")
+    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(lean_group(_block_search(rotations, radius, k)), "query_id long, vec_id long, score double, away int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -190,9 +190,11 @@ def search(df: DataFrame, *, k: int = 5, every: int = 50, bits: int = BITS, id_c
     n = vecs.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rotations = spark.sparkContext.broadcast(learn_rotations(_sample(vecs, TRAIN_ROWS, 1), bits))
-    few = saved(queries.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(CALIBRATE), "ann-calibration")
+    asked = queries.count()
+    sample = _some(vecs, TRAIN_ROWS, n, 1).orderBy("vec_id").collect() or vecs.limit(1).collect()
+    rotations = spark.sparkContext.broadcast(learn_rotations(np.array([r.v for r in sample]), bits))
+    few = saved(_some(queries, CALIBRATE, asked, 5), "ann-calibration")
     away = [r.away for r in _answers(vecs, few, n, CALIBRATE, rotations, -1, k).select("away").collect()]
-    radius = int(np.quantile(away, QUANTILE, method="higher")) if away else 0
-    found = _answers(vecs, queries, n, queries.count(), rotations, radius, k)
+    radius = int(np.quantile(away, QUANTILE, method="higher")) if away else bits
+    found = _answers(vecs, queries, n, asked, rotations, radius, k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
