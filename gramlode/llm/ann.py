@@ -6,7 +6,10 @@ r // m bits on one of the m substrings at least (one bit less on all but the fir
 retrieves every code within the radius. Survivors of the full Hamming test are ranked by cosine on the original vectors.
 
 The radius is learned: for a bounded sample of queries the true neighbours are found by brute force over all rows, and the radius is
-the smallest that holds QUANTILE of them. The index covers all rows, in blocks by hash of the id; each block answers all queries, in
+the smallest that holds QUANTILE of them. One radius does not suit all: a query in a thin region may find fewer than k rows within it, or
+rows so far off that nearer ones may lie outside. So each query's k-th row tells how far the codes of nearer vectors can be (the angle's share
+of the bits, and as many deviations as the sample's neighbours show, SPREAD at least), and queries that need a wider radius are asked again with it;
+with fewer than k rows, with growing ones up to the whole code, where every row is found. Fewer than k rows come out only if there are not more. The index covers all rows, in blocks by hash of the id; each block answers all queries, in
 groups of bounded size. Equal vectors of a block are searched once; of them, the smallest k + 1 ids are kept, which no
 answer can exceed.
 
@@ -16,7 +19,7 @@ an id. Repeated rows of an id count once (of different vectors, the least). Ties
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +29,8 @@ from gramlode.llm.common import lean_group, saved
 
 #: Bits of a code (a multiple of 64), vectors that train and queries that calibrate (in the mean), and the share of their neighbours within the radius.
 BITS, TRAIN_ROWS, CALIBRATE, QUANTILE = 128, 8192, 128, 0.97
+#: Deviations above the expected Hamming distance of an angle that a query's radius covers, at least.
+SPREAD = 2.0
 #: Rows of an index block, and queries of a group.
 BLOCK_ROWS, GROUP_QUERIES = 20_000, 10_000
 
@@ -135,8 +140,15 @@ def _classes(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
     return x[first], [np.sort(p) for p in parts]
 
 
-def _block_search(rotations, radius: int, k: int):
-    """radius below 0: brute force, and the score column holds the Hamming distance."""
+def _expected(score, bits: int):
+    """Mean and deviation of the Hamming distance of codes at this cosine, if bits were signs of independent projections; one bit is added to
+    the variance, so that equal vectors have a deviation, too."""
+    p = np.arccos(np.clip(score, -1, 1)) / np.pi
+    return bits * p, np.sqrt(bits * p * (1 - p) + 1)
+
+
+def _block_search(rotations, k: int):
+    """Each query within its radius; below 0: brute force."""
 
     def run(rows, queries):
         import pyarrow as pa
@@ -147,12 +159,14 @@ def _block_search(rotations, radius: int, k: int):
         ids, x = _distinct(rows.column("vec_id").to_numpy(), _matrix(rows.column("v")))
         qids, q = _distinct(queries.column("vec_id").to_numpy(), _matrix(queries.column("v")))
         x, members = _classes(ids, x)
+        radii = dict(zip(queries.column("vec_id").to_pylist(), queries.column("radius").to_pylist()))
         q, askers = _classes(qids, q)
         r = rotations.value
         codes, qcodes = codes_of(x, r), codes_of(q, r)
         index = MultiIndex(codes)
         out: list[list] = [[], [], [], []]
         for vec, code, who in zip(q, qcodes, askers):
+            radius = max(radii[i] for i in who.tolist())
             found = index.within(code, radius) if radius >= 0 else np.arange(len(x))
             if not len(found):
                 continue
@@ -171,17 +185,29 @@ def _block_search(rotations, radius: int, k: int):
     return run
 
 
-def _answers(vecs: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, rotations, radius: int, k: int) -> DataFrame:
+def _answers(vecs: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, rotations, k: int) -> DataFrame:
+    """``queries`` have a radius each."""
     blocks = max(1, -(-n_rows // BLOCK_ROWS), 4 if n_rows > 1000 else 1)
     groups = max(1, -(-n_queries // GROUP_QUERIES))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = vecs.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", numbers(groups))
     asked = queries.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(groups))).withColumn("block", numbers(blocks))
-    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(lean_group(_block_search(rotations, radius, k)), "query_id long, vec_id long, score double, away int")
+    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(lean_group(_block_search(rotations, k)), "query_id long, vec_id long, score double, away int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _asked_again(asked: DataFrame, found: DataFrame, spread: float, k: int, bits: int) -> DataFrame:
+    """The queries whose radius was too small for their answer, with the next one."""
+    last = found.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("worst"))
+    p = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("worst")))) / float(np.pi)
+    needed = F.floor(bits * p + spread * F.sqrt(bits * p * (1 - p) + 1)).cast("int")
+    wider = F.greatest(2 * F.col("radius"), F.col("radius") + bits // 8)
+    joined = asked.join(last.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").filter(F.col("radius") < bits)
+    to = F.least(F.lit(bits), F.when(F.coalesce("found", F.lit(0)) < k, wider).otherwise(needed)).cast("int")
+    return joined.withColumn("to", to).filter(F.col("to") > F.col("radius")).select("vec_id", "v", F.col("to").alias("radius"))
+
+
 def search(df: DataFrame, *, k: int = 5, every: int = 50, bits: int = BITS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is divisible by ``every``, the ``k`` nearest others."""
     spark = df.sparkSession
@@ -193,8 +219,21 @@ def search(df: DataFrame, *, k: int = 5, every: int = 50, bits: int = BITS, id_c
     asked = queries.count()
     sample = _some(vecs, TRAIN_ROWS, n, 1).orderBy("vec_id").collect() or vecs.limit(1).collect()
     rotations = spark.sparkContext.broadcast(learn_rotations(np.array([r.v for r in sample]), bits))
-    few = saved(_some(queries, CALIBRATE, asked, 5), "ann-calibration")
-    away = [r.away for r in _answers(vecs, few, n, CALIBRATE, rotations, -1, k).select("away").collect()]
-    radius = int(np.quantile(away, QUANTILE, method="higher")) if away else bits
-    found = _answers(vecs, queries, n, asked, rotations, radius, k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    few = saved(_some(queries, CALIBRATE, asked, 5).withColumn("radius", F.lit(-1)), "ann-calibration")
+    true = _answers(vecs, few, n, CALIBRATE, rotations, k).select("score", "away").collect()
+    away, score = np.array([r.away for r in true]), np.array([r.score for r in true])
+    radius, spread = bits, SPREAD
+    if true:
+        radius = int(np.quantile(away, QUANTILE, method="higher"))
+        mean, deviation = _expected(score, bits)
+        spread = max(SPREAD, float(np.quantile((away - mean) / deviation, QUANTILE)))
+    queries = saved(queries.withColumn("radius", F.lit(radius)), "ann-queries")
+    columns = ("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    done = []
+    while asked:
+        found = saved(_answers(vecs, queries, n, asked, rotations, k).select(*columns), "ann-found")
+        again = saved(_asked_again(queries, found, spread, k, bits), "ann-queries")
+        asked = again.count()
+        done.append(found.join(again.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti") if asked else found)
+        queries = again
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -134,3 +134,18 @@ def test_pigeonhole_finds_all_within_radius():
     for radius in (0, 3, 15, 17, 40, 50, 128):
         for q in codes[:10]:
             assert np.array_equal(index.within(q, radius), np.flatnonzero(ann.hamming(codes, q[None, :]) <= radius))
+
+
+def test_ann_answers_outliers_among_dense_groups(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((100, 64))
+    x = centres[rng.integers(0, 100, 4000)] + 0.01 * rng.standard_normal((4000, 64))
+    alone = (np.arange(4000) % 400 == 0) | (np.arange(4000) % 40 == 7)
+    x[alone] = rng.standard_normal((int(alone.sum()), 64))
+    want = brute(range(4000), x, every=10)
+    got = {}
+    for r in ann.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), every=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert got.keys() == want.keys() and all(sorted(r for r, _ in v) == [1, 2, 3, 4, 5] for v in got.values())
+    hits = [len({j for _, j in want[q]} & {j for _, j in got[q]}) / 5 for q in want if alone[q]]
+    assert len(hits) == 10 and np.mean(hits) >= 0.9
