@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier, all of whose main path are SQL expressions on one row.
 
-A paragraph is a line; lines of more than WINDOW words are looked at in windows that overlap by half. Units that hold a marker word
+Units are lines, and paragraphs: lines joined up to a blank one, so that notices wrapped over lines are whole. Units of more than WINDOW words
+are looked at in windows that overlap by half. A paragraph's window counts only if it spans lines and finds a family that no line of its own
+states; its line is that of its first marker. Units that hold a marker word
 (licence, copyright, the licences' own names) become sparse binary features: word n-grams of 1 to 3 words, hashed into BUCKETS cells.
 Softmax regression gives each family, and the class ``unknown``, a probability; a temperature and a threshold are calibrated on
 held-out examples. A prediction counts as found only if the unit holds at least CONFIRM of the word pairs and triples of one of the
@@ -74,7 +76,7 @@ def cells(tokens: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """array<struct<line, tokens>> of the units that hold a marker."""
+    """array<struct<line, tokens>> of the lines, or their windows, that hold a marker."""
 
     def of_line(line: Column, number: Column) -> Column:
         def cut(tokens: Column) -> Column:
@@ -88,6 +90,40 @@ def units(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n", -1), of_line))
 
 
+def paragraphs(text: Column) -> Column:
+    """The text cut at the ends of lines that a blank line follows: array_join by line ends gives the text again."""
+    return F.split(text, r"\n(?=[^\S\n]*(?:\n|$))", -1)
+
+
+def wrapped(parts: Column) -> Column:
+    """array<struct<part, line, first, last, tokens>> of the windows of paragraphs that span lines and hold a marker and a word pair of a
+    template, without which none can be confirmed; lines count from the paragraph's first."""
+    marks = F.array(*map(F.lit, MARKERS))
+    pairs = F.split(F.lit(",".join(sorted({g for ts in TEMPLATES.values() for t in ts for g in _shingles(t) if g.count(" ") == 1}))), ",")
+
+    def of_part(part: Column, number: Column) -> Column:
+        def cut(tokens: Column) -> Column:
+            half = WINDOW // 2
+            many = F.ceil(F.greatest(F.size(tokens) - WINDOW, F.lit(0)) / half).cast("int")
+
+            def window(k: Column) -> Column:
+                def shaped(t: Column) -> Column:
+                    marked = F.filter(t, lambda x: F.array_contains(marks, x["w"]))
+                    return F.struct(number.alias("part"), F.get(marked, F.lit(0))["i"].alias("line"), F.get(t, F.lit(0))["i"].alias("first"), F.get(t, F.size(t) - 1)["i"].alias("last"), F.transform(t, lambda x: x["w"]).alias("tokens"))
+
+                return let(F.slice(tokens, k * half + 1, F.lit(WINDOW)), shaped)
+
+            spans = F.transform(F.sequence(F.lit(0), many), window)
+            return F.filter(spans, lambda u: u["line"].isNotNull() & (u["first"] < u["last"]) & F.arrays_overlap(grams(u["tokens"], (2,)), pairs))
+
+        lines = F.split(part, "\n", -1)
+        tokens = F.flatten(F.transform(lines, lambda x, i: F.transform(words(x), lambda w: F.struct(w.alias("w"), i.alias("i")))))
+        none = F.array().cast("array<struct<part:int,line:int,first:int,last:int,tokens:array<string>>>")
+        return F.when(F.rlike(part, F.lit(MAY)) & F.rlike(part, F.lit(r"\S[^\n]*\n\s*\S")), let(tokens, cut)).otherwise(none)
+
+    return F.flatten(F.transform(parts, of_part))
+
+
 MAY = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(MARKERS) + r")(?![\p{L}\p{N}])"
 
 
@@ -219,13 +255,33 @@ def scan(docs: DataFrame, trained=None) -> DataFrame:
             sure = (s["best"] > 0) & (s["probability"] >= limit)
             likeness = F.when(sure, let(grams(u["tokens"], (2, 3)), like)).otherwise(F.lit(0.0))
             name = F.element_at(F.array(*map(F.lit, FAMILIES)), s["best"] + 1)
-            return let(likeness, lambda v: F.struct(u["line"].alias("line"), F.when(v >= CONFIRM, name).otherwise(UNKNOWN).alias("family"), s["probability"].alias("probability"), v.alias("likeness")))
+            return let(likeness, lambda v: F.struct(u["part"].alias("part"), u["line"].alias("line"), u["first"].alias("first"), u["last"].alias("last"), F.when(v >= CONFIRM, name).otherwise(UNKNOWN).alias("family"), s["probability"].alias("probability"), v.alias("likeness")))
 
         return let(let(cells(u["tokens"]), with_cells), confirmed)
 
+    def whole(text: Column, parts: Column) -> Column:
+        of_lines = F.transform(units(text), lambda u: F.struct(F.lit(-1).alias("part"), u["line"].alias("line"), u["line"].alias("first"), u["line"].alias("last"), u["tokens"].alias("tokens")))
+
+        def placed(u: Column) -> Column:
+            """A found window's lines count from the text's first."""
+            before = F.when(u["part"] > 0, F.size(F.split(F.array_join(F.slice(parts, F.lit(1), u["part"]), "\n"), "\n", -1))).otherwise(0)
+            return F.struct((u["line"] + before).alias("line"), u["family"].alias("family"), u["probability"].alias("probability"), u["likeness"].alias("likeness"), (u["first"] + before).alias("first"), (u["last"] + before).alias("last"))
+
+        def merged(every: Column) -> Column:
+            stated = F.transform(F.filter(every, lambda u: u["part"] < 0), lambda u: F.struct(u["line"].alias("line"), u["family"].alias("family"), u["probability"].alias("probability"), u["likeness"].alias("likeness")))
+            joined = F.transform(F.filter(every, lambda u: (u["part"] >= 0) & (u["family"] != UNKNOWN)), placed)
+
+            def more(known: Column) -> Column:
+                fresh = F.filter(joined, lambda u: ~F.exists(known, lambda x: (x["family"] == u["family"]) & x["line"].between(u["first"], u["last"])))
+                return F.concat(known, F.transform(fresh, lambda u: F.struct(u["line"].alias("line"), u["family"].alias("family"), u["probability"].alias("probability"), u["likeness"].alias("likeness"))))
+
+            return let(stated, more)
+
+        return let(F.transform(F.concat(of_lines, wrapped(parts)), scored), merged)
+
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<line:int,family:string,probability:double,likeness:double>>")
-    found = F.when(F.rlike("text", F.lit(MAY)), F.transform(units(F.col("text")), scored)).otherwise(none)
+    found = F.when(F.rlike("text", F.lit(MAY)), let(paragraphs(F.col("text")), lambda parts: whole(F.col("text"), parts))).otherwise(none)
     return docs.select("doc_id", text.alias("text")).select("doc_id", found.alias("found"))
 
 
@@ -238,5 +294,5 @@ def digest(scanned: DataFrame) -> DataFrame:
     once = scanned.withColumn("found", F.explode(F.array("found")))
     sure = F.filter("found", lambda u: u["family"] != UNKNOWN)
     names = F.array_sort(F.array_distinct(F.transform(sure, lambda u: u["family"])))
-    lines = F.array_distinct(F.transform(sure, lambda u: u["line"]))
+    lines = F.array_sort(F.array_distinct(F.transform(sure, lambda u: u["line"])))
     return once.select("doc_id", F.array_join(names, ",").alias("licenses"), F.size(sure).cast("long").alias("n_found"), (F.size("found") - F.size(sure)).cast("long").alias("n_unknown"), F.array_join(F.transform(lines, lambda x: x.cast("string")), ",").alias("lines"))

@@ -49,3 +49,22 @@ def test_probabilities_equal_plain_regression(spark):
 def test_main_path_is_native(spark):
     plan = registry.op10_license(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|MapIn", plan)
+
+
+WRAPPED = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_notices_wrapped_over_lines(spark, mark):
+    rows = [(k, "A title\n\n \n" + "\n".join(mark + x for x in v.split("\n")) + "\n\nThe end") for k, v in WRAPPED.items()]
+    both = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\n\n" + WRAPPED["ISC"]
+    got = {r.doc_id: r for r in lic.digest(lic.scan(spark.createDataFrame([*rows, ("both", both)], "doc_id string, text string"))).collect()}
+    assert {k: got[k].licenses for k in WRAPPED} == {k: k for k in WRAPPED}
+    assert all(3 <= int(x) <= 6 for k in WRAPPED for x in got[k].lines.split(","))
+    assert got["both"].licenses == "Apache-2.0,ISC,MIT" and got["both"].lines == "0,1,3"
