@@ -9,7 +9,7 @@ suffix filter.
 
 Components need not know every link, so a large group of near copies is not spelled out in pairs: first all members of a prefix shingle
 are verified against its pivots, then components are found, and only pairs of a shingle that lie in different components are verified.
-No pair that could connect two components is left out.
+No pair that could connect two components is left out. That is join(); links() and link_counts() verify every pair of classes that passes the filters.
 
 A hot shingle (HOT documents of a batch or more) is sent once for a batch, with its count. Words are runs of bytes other than space and 9
 to 13, with A-Z lowered. A document of fewer words than n has its whole sequence as only shingle; null texts and texts without words
@@ -348,16 +348,10 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def join(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = saved(docs.mapInArrow(lean(_rows(words)), "doc_id long, n long, fp binary"), "join-rows")
-    classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    total, ids, some = rows.agg(F.sum("n"), F.countDistinct("doc_id"), F.count("*")).first()
+    """doc_id, n_shingles and component_id of each document. Its pairs are links()."""
+    rows, classes, sets = _indexed(docs, words, similar)
     linked = None
-    if total:
-        sets = _partners(docs, rows, classes, words, similar, total, ids == some)
-        release(spark)
+    if sets is not None:
         labels = _linked(sets, similar)
         if labels is not None:
             named = labels.join(sets.select("node", "fp"), "node").join(classes.select("fp", "rep"), "fp")
@@ -370,6 +364,44 @@ def join(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR) -> Data
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Every link: (doc_id, n_shingles, fp) of each document, where fp is its class, null if its set is empty; and (fp_a, fp_b), once each, of the
+    pairs of classes that are similar enough. Documents of a class are linked with each other, too. No pivot is used and no pair left out."""
+    rows, _, sets = _indexed(docs, words, similar)
+    members = rows.select("doc_id", F.col("n").alias("n_shingles"), "fp")
+    if sets is None:
+        return members, docs.sparkSession.createDataFrame([], "fp_a binary, fp_b binary")
+    postings = _postings(sets, similar)
+    other = postings.select("key", *(F.col(f).alias(to) for f, to in zip(("node", "n", "s", "j"), ("other", "m", "t", "k"))))
+    pairs = postings.join(other, "key").filter((F.col("node") < F.col("other")) & _possible(similar))
+    found = verify(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), sets, similar)
+    named = found.join(sets.select(F.col("node").alias("u"), F.col("fp").alias("fp_a")), "u").join(sets.select(F.col("node").alias("v"), F.col("fp").alias("fp_b")), "v")
+    return members, saved(named.select("fp_a", "fp_b"), "join-pairs")
+
+
+def link_counts(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles and n_links: the number of other rows that each is linked with, copies included."""
+    members, pairs = links(docs, words=words, similar=similar)
+    copies = members.filter("fp is not null").groupBy("fp").agg(F.count("*").alias("copies"))
+    both = pairs.unionByName(pairs.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b")))
+    near = both.join(copies.withColumnRenamed("fp", "fp_b"), "fp_b").groupBy(F.col("fp_a").alias("fp")).agg(F.sum("copies").alias("near"))
+    counted = copies.join(near, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return members.join(counted, "fp", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _indexed(docs: DataFrame, words: int, similar: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The rows with their sets' fingerprints, the classes, and those that can have a partner (none if no text has words)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = saved(docs.mapInArrow(lean(_rows(words)), "doc_id long, n long, fp binary"), "join-rows")
+    classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    total, ids, some = rows.agg(F.sum("n"), F.countDistinct("doc_id"), F.count("*")).first()
+    if not total:
+        return rows, classes, None
+    sets = _partners(docs, rows, classes, words, similar, total, ids == some)
+    release(docs.sparkSession)
+    return rows, classes, sets
+
+
 def _partners(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, similar: int, total: int, unique: bool) -> DataFrame:
     """(node, fp, n, keys) of the classes that can have a partner."""
     spark = docs.sparkSession
@@ -388,14 +420,19 @@ def _partners(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
     return saved(able.withColumn("node", F.monotonically_increasing_id()), "join-sets")
 
 
-def _linked(sets: DataFrame, similar: int) -> DataFrame | None:
-    """(node, root) of the classes with a link."""
+def _postings(sets: DataFrame, similar: int) -> DataFrame:
+    """(key, node, n, s, j) of the prefix shingles that several classes have."""
     lone = F.col("n") - F.size("keys")
     length = F.col("n") - F.ceil(F.col("n") * similar / F.lit(100.0) - 1e-9) + 1 - lone
     prefix = sets.withColumn("p", length.cast("int")).filter("p > 0")
     postings = prefix.select("node", "n", F.size("keys").alias("s"), F.posexplode(F.slice("keys", 1, F.col("p"))).alias("j", "key"))
     several = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    postings = saved(postings.join(several, "key"), "join-postings")
+    return saved(postings.join(several, "key"), "join-postings")
+
+
+def _linked(sets: DataFrame, similar: int) -> DataFrame | None:
+    """(node, root) of the classes with a link."""
+    postings = _postings(sets, similar)
     fields = ("node", "n", "s", "j", "comp")
     # the first pivot is the set with fewest shingles of its own, the likeliest centre of a group; the others are picked by hash
     orders = {"first": [F.col("n") - F.col("s")], "others": [F.xxhash64(F.lit(i), "node") for i in range(PIVOTS)]}

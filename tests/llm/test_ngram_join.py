@@ -94,3 +94,20 @@ def test_suffix_bound_and_packing():
             assert nj.suffix_differs(a, b, most) <= true
     x = np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64))
     assert np.array_equal(nj.unpacked(nj.packed_bytes(x)), x)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_equal_brute_force(spark, seed):
+    rows = corpus(seed, 160)
+    if seed == 1:
+        rows += rows[:5]  # repeated rows
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: a and b and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted(((d, len(s), sum(bool(near(s, o)) for j, o in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in nj.link_counts(df).collect()), key=str) == want
+    distinct = {frozenset(s) for s in sets}
+    pairs = sum(bool(near(a, b)) for a in distinct for b in distinct if a != b) // 2
+    got = nj.links(df)[1].collect()
+    assert pairs > 10 and len(got) == pairs == len({frozenset((bytes(r.fp_a), bytes(r.fp_b))) for r in got})
+    assert nj.link_counts(df.filter("doc_id = 1")).first().n_links == 0
