@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import lean_group, saved
+from gramlode.llm.common import saved
 
 #: Bits of a code (a multiple of 64), vectors that train and queries that calibrate (in the mean), and the share of their neighbours within the radius.
 BITS, TRAIN_ROWS, CALIBRATE, QUANTILE = 128, 8192, 128, 0.97
@@ -192,7 +192,7 @@ def _answers(vecs: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, r
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = vecs.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", numbers(groups))
     asked = queries.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(groups))).withColumn("block", numbers(blocks))
-    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(lean_group(_block_search(rotations, k)), "query_id long, vec_id long, score double, away int")
+    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(_block_search(rotations, k), "query_id long, vec_id long, score double, away int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

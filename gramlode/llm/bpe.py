@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import lean, text_chunks
+from gramlode.llm.common import bounded, text_chunks
 
 #: Distinct pieces that a task remembers, and the longest of them in bytes; beyond, they are encoded anew.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 256
@@ -162,7 +162,8 @@ def _encoded(path: str, pattern: str, keep: int, ids: bool, decoded: bool):
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, *, keep: tuple[str, ...] = ("doc_id",), ids: bool = True, decoded: bool = True) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of each text, and on demand ids and the decoded bytes."""
+    bounded(docs.sparkSession)
     kept = [docs[c].alias(f"c{i}") for i, c in enumerate(keep)]
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded binary" * decoded
-    out = docs.select(*kept, docs["text"].cast("string").alias("text")).mapInArrow(lean(_encoded(ranks_path, pattern, len(keep), ids, decoded)), schema)
+    out = docs.select(*kept, docs["text"].cast("string").alias("text")).mapInArrow(_encoded(ranks_path, pattern, len(keep), ids, decoded), schema)
     return out.toDF(*keep, *out.columns[len(keep) :])

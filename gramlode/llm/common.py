@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -13,95 +10,68 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker looks at in one step, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch between Spark and Python: with the default of 10,000, one batch is a task's whole input, held by both.
+BATCH_ROWS = 500
 
-_made: list = []
+_made: dict[str, list] = {}
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with small Arrow batches, and without the shuffle files of queries that have ended (they would stay until the driver
+    happens to collect its garbage). Settings of the user that are stricter stay."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session may do without it and gets one below its warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/.work/{spark.sparkContext.applicationId}"
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
-    """The rows written to the shared folder and read again: cuts the lineage, survives lost executors. The files go when the driver ends."""
-    spark = df.sparkSession
+    """The rows written to the shared folder and read again: cuts the lineage, survives lost executors. Steps that are done with the files
+    call drop_saved(); what a returned DataFrame reads stays until the driver ends."""
+    spark = bounded(df.sparkSession)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_sweep)
-    _made.append((spark, path))
+    _made[path] = [spark]
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _sweep() -> None:
-    for spark, path in _made:
+    for path, (spark,) in list(_made.items()):
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone before us
             return
 
 
-def drop_saved(df: DataFrame) -> None:
+def drop_saved(*frames: DataFrame) -> None:
     """Deletes files written by saved() that no later step reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that nothing refers to any more; its cleaner runs beside us."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
-def _trim() -> None:
-    """Gives memory that the worker has freed back to the system: Spark keeps its Python workers, and with them their heaps."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
-def lean(run):
-    """A mapInArrow function that trims its worker's memory when it ends."""
-
-    def inner(batches):
-        try:
-            yield from run(batches)
-        finally:
-            _trim()
-
-    return inner
-
-
-def lean_group(run):
-    """The same for a function of (key, rows), or of two groups."""
-
-    def inner(a, b):
-        try:
-            return run(a, b)
-        finally:
-            _trim()
-
-    return inner
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+            for known in [k for k in _made if path.endswith(k.rsplit("/", 1)[1])]:
+                del _made[known]
 
 
 def text_chunks(batches, column: str = "text", budget: int = CHUNK_BYTES):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import lean, text_chunks
+from gramlode.llm.common import bounded, text_chunks
 
 BUCKETS, ORDERS, SMOOTH = 1 << 16, (1, 2, 3, 4), 0.5
 #: Documents of a language that train, in the mean: a sample by hash, documented bound. Languages, at most.
@@ -105,7 +105,7 @@ def train(labelled: DataFrame, most_docs: int = TRAIN_DOCS) -> tuple[list[str],
     spark = labelled.sparkSession
     cut = F.broadcast(spark.createDataFrame([(k, int(v * (1 << 30))) for k, v in rates.items()], "lang string, cut long"))
     chosen = labelled.join(cut, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("cut"))
-    counts = chosen.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(lean(_counts), "lang string, cell int, n long")
+    counts = chosen.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(_counts, "lang string, cell int, n long")
     table = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(rates)
     matrix = np.zeros((BUCKETS + 1, len(langs)))
@@ -156,8 +156,9 @@ def _predict(shared, langs: list[str], keep: int):
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, lang_pred and score of each document; only the text enters the prediction."""
     langs, matrix = model
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     kept = [docs[c].alias(f"c{i}") for i, c in enumerate(keep)]
     types = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = docs.select(*kept, docs["text"].cast("string").alias("text")).mapInArrow(lean(_predict(shared, langs, len(keep))), f"{types}, lang_pred string, score double")
+    out = docs.select(*kept, docs["text"].cast("string").alias("text")).mapInArrow(_predict(shared, langs, len(keep)), f"{types}, lang_pred string, score double")
     return out.toDF(*keep, "lang_pred", "score")

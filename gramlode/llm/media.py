@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import lean, text_chunks
+from gramlode.llm.common import bounded, text_chunks
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -271,9 +271,10 @@ def _media(full: bool):
 
 def media_columns(docs: DataFrame, *, full: bool = True) -> DataFrame:
     """Each text stored as an AVI file and read back: digests, features and, with ``full``, the file and its shots."""
+    bounded(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, shots array<int>" * full
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(_media(full)), schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_media(full), schema)
 
 
 def clips(media: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import lean, saved, text_chunks, word_bounds
+from gramlode.llm.common import bounded, saved, text_chunks, word_bounds
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Tilt towards long documents, Newton steps, cells of a histogram and how often it is refined.
@@ -33,8 +33,9 @@ def _sizes(batches: Iterator) -> Iterator:
 
 def word_sizes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """``keep`` and the number of words."""
+    bounded(docs.sparkSession)
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("words_of")).mapInArrow(lean(_sizes), f"{types}, size long")
+    return docs.select(*keep, F.col("text").cast("string").alias("words_of")).mapInArrow(_sizes, f"{types}, size long")
 
 
 def targets(sources: list[tuple], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict:

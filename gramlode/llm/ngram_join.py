@@ -11,7 +11,10 @@ Components need not know every link, so a large group of near copies is not spel
 are verified against its pivots, then components are found, and only pairs of a shingle that lie in different components are verified.
 No pair that could connect two components is left out. That is join(); links() and link_counts() verify every pair of classes that passes the filters.
 
-A hot shingle (HOT documents of a batch or more) is sent once for a batch, with its count. Words are runs of bytes other than space and 9
+Batches and buckets hold about the square root of BLOCK_ENTRIES times all shingles, within the bounds below, so that blocks keep a useful size and
+a task's memory is bounded. A hot shingle (HOT documents of a batch or more) is sent once for a batch, with its count; any other adds fewer than
+HOT entries a batch to its bucket, under half of a bucket's mean. What is summed by a key is written before it is joined with the
+rows of that key again: then both sides are plain shuffles, and a key that many rows share is dealt to several tasks. Words are runs of bytes other than space and 9
 to 13, with A-Z lowered. A document of fewer words than n has its whole sequence as only shingle; null texts and texts without words
 have an empty set, are linked with nothing and stand alone. Repeated rows are equal sets. A null id is never a component's
 id unless no member has another. Empty tables give empty results; extra columns are left aside.
@@ -25,12 +28,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import Rolling, drop_saved, lean, lean_group, mixed, release, saved, text_chunks, word_bounds
+from gramlode.llm.common import Rolling, bounded, drop_saved, mixed, saved, text_chunks, word_bounds
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, SIMILAR = 4, 85
-#: Shingles and documents of a batch; shingles of a bucket in the mean; documents of a batch from which a shingle is hot.
-BATCH_SHINGLES, BATCH_DOCS, BUCKET_SHINGLES, HOT = 1_500_000, 60_000, 1 << 19, 512
+#: Entries of a batch, and of a bucket in the mean, at least and at most (about 64 bytes of a task's memory each); entries that a block should hold.
+LEAST_ENTRIES, MOST_ENTRIES, BLOCK_ENTRIES = 1 << 18, 1 << 23, 64
+#: Documents of a batch at most; documents of a batch from which a shingle is hot.
+BATCH_DOCS, HOT = 60_000, 32
 #: Copies whose ids are broadcast so that they are not indexed (8 bytes each); with more, they are indexed, too.
 SKIPPED = 2_000_000
 #: Pivots that a shingle's documents are verified against before pairs are.
@@ -94,6 +99,13 @@ def _rows(n: int):
 # ---- exact document frequencies
 
 
+def _new(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: where each begins, and every row's number of it."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def packed_bytes(x: np.ndarray) -> bytes:
     """Sorted integers as differences, byte by byte of rising weight: leading zeros are left to Spark's compression."""
     d = np.diff(x, prepend=x.dtype.type(0))
@@ -108,14 +120,19 @@ def unpacked(raw: bytes) -> np.ndarray:
 BLOCK = "bucket int, batch long, docs boolean, entries binary, hot binary, fps binary, sizes binary"
 
 
-def _blocks(n: int, buckets: int, skipped):
+def step_entries(total: int) -> int:
+    """Entries of a batch and of a bucket, for this many in all."""
+    return int(min(MOST_ENTRIES, max(LEAST_ENTRIES, (BLOCK_ENTRIES * total) ** 0.5)))
+
+
+def _blocks(n: int, buckets: int, entries: int):
     """Of each batch of documents: a block of entries (hash << 16 | document) for each bucket, and one that describes the documents."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        rolling, skip = Rolling(), skipped.value
+        rolling = Rolling()
         part = TaskContext.get().partitionId()
         held, fps, sizes, total, number = [], [], [], 0, 0
 
@@ -130,15 +147,20 @@ def _blocks(n: int, buckets: int, skipped):
             hot = hashes[first[many]] << np.uint64(DOC_BITS) | np.minimum(counts[many], 0xFFFF).astype(np.uint64)
             of_hot = np.repeat(many, counts)
             cold = x[~of_hot]
-            bounds = (np.arange(buckets + 1, dtype=object) * (1 << HASH_BITS) // buckets * (1 << DOC_BITS))
-            bounds = np.array([min(int(b), 2**64 - 1) for b in bounds], np.uint64)
-            a, b = np.searchsorted(cold, bounds), np.searchsorted(hot, bounds)
-            a[-1], b[-1] = len(cold), len(hot)
+            used, ends = [], []
+            for some in (cold, hot):  # hashes rise, and with them their buckets
+                place = ((some >> np.uint64(DOC_BITS + 16)) * np.uint64(buckets) >> np.uint64(HASH_BITS - 16)).astype(np.int64)
+                first, _ = _new(place)
+                used.append(place[first])
+                ends.append(np.append(first, len(some)))
             rows = {name: [] for name in ("bucket", "batch", "docs", "entries", "hot", "fps", "sizes")}
-            for k in range(buckets):
-                if a[k] < a[k + 1] or b[k] < b[k + 1]:
-                    for name, value in zip(rows, (k, batch, False, packed_bytes(cold[a[k] : a[k + 1]]), hot[b[k] : b[k + 1]].tobytes(), None, None)):
-                        rows[name].append(value)
+            for k in np.union1d(*used).tolist():
+                parts = []
+                for some, places, end in zip((cold, hot), used, ends):
+                    i = int(np.searchsorted(places, k))
+                    parts.append(some[end[i] : end[i + 1]] if i < len(places) and places[i] == k else some[:0])
+                for name, value in zip(rows, (k, batch, False, packed_bytes(parts[0]), parts[1].tobytes(), None, None)):
+                    rows[name].append(value)
             for name, value in zip(rows, (batch % buckets, batch, True, packed_bytes(x[of_hot]), None, b"".join(fps), np.array(sizes, np.int64).tobytes())):
                 rows[name].append(value)
             kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -146,17 +168,15 @@ def _blocks(n: int, buckets: int, skipped):
             return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in zip(rows, kinds)], names=list(rows))
 
         for rows, data, offs in text_chunks(batches):
-            ids = rows.column(0).to_numpy(zero_copy_only=False)
-            left_out = np.isin(ids, skip) if len(skip) else np.zeros(len(ids), bool)
-            for s, out in zip(shingle_sets(data, offs, n, rolling), left_out.tolist()):
-                if out or not len(s):
+            for s in shingle_sets(data, offs, n, rolling):
+                if not len(s):
                     continue
                 cut = np.unique(s >> np.uint64(64 - HASH_BITS))
                 held.append(cut << np.uint64(DOC_BITS) | np.uint64(len(sizes)))
                 fps.append(fingerprint(s))
                 sizes.append(len(s))
                 total += len(cut)
-                if total >= BATCH_SHINGLES or len(sizes) >= BATCH_DOCS:
+                if total >= entries or len(sizes) >= BATCH_DOCS:
                     yield flush()
         if held:
             yield flush()
@@ -304,7 +324,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    return once.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(lean(_verified(similar)), EDGE)
+    return once.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_verified(similar), EDGE)
 
 
 def _possible(similar: int) -> Column:
@@ -324,14 +344,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "join-stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "join-low")
+        large = saved(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "join-stars")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "join-low")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = saved(small, "join-edges")
-        drop_saved(now)
-        drop_saved(large)
+        drop_saved(now, low, large, least)
         now, before = new, mark
         mark = _mark(now)
         if mark == before:
@@ -350,18 +368,18 @@ def _mark(edges: DataFrame) -> tuple:
 def join(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles and component_id of each document. Its pairs are links()."""
     rows, classes, sets = _indexed(docs, words, similar)
-    linked = None
+    ids_of = classes.select("fp", "rep")
     if sets is not None:
         labels = _linked(sets, similar)
         if labels is not None:
-            named = labels.join(sets.select("node", "fp"), "node").join(classes.select("fp", "rep"), "fp")
-            least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-            linked = saved(named.join(least, "root").select("fp", "component_id"), "join-classes")
-    ids_of = classes.select("fp", "rep")
-    if linked is not None:
-        ids_of = ids_of.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("rep"))
-    out = rows.join(ids_of, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("component_id"))
+            named = saved(labels.join(sets.select("node", "fp"), "node").join(classes.select("fp", "rep"), "fp").select("fp", "root", "rep"), "join-named")
+            least = saved(named.groupBy("root").agg(F.min("rep").alias("component_id")), "join-least")
+            linked = saved(named.join(least, "root").select("fp", "component_id"), "join-linked")
+            ids_of = saved(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("rep")), "join-classes")
+            drop_saved(labels, named, least, linked)
+        drop_saved(sets)
+    some = rows.filter("fp is not null").join(ids_of, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+    return some.unionByName(rows.filter("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def links(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -392,41 +410,46 @@ def link_counts(docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR)
 def _indexed(docs: DataFrame, words: int, similar: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The rows with their sets' fingerprints, the classes, and those that can have a partner (none if no text has words)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = saved(docs.mapInArrow(lean(_rows(words)), "doc_id long, n long, fp binary"), "join-rows")
-    classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    bounded(docs.sparkSession)
+    rows = saved(docs.mapInArrow(_rows(words), "doc_id long, n long, fp binary"), "join-rows")
+    classes = saved(rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "join-classes")
     total, ids, some = rows.agg(F.sum("n"), F.countDistinct("doc_id"), F.count("*")).first()
     if not total:
         return rows, classes, None
-    sets = _partners(docs, rows, classes, words, similar, total, ids == some)
-    release(docs.sparkSession)
-    return rows, classes, sets
+    return rows, classes, _partners(docs, rows, classes, words, similar, total, ids == some)
 
 
 def _partners(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, similar: int, total: int, unique: bool) -> DataFrame:
     """(node, fp, n, keys) of the classes that can have a partner."""
-    spark = docs.sparkSession
-    skip = np.zeros(0, np.int64)
-    if unique:
-        copies = rows.join(classes.filter("copies > 1"), "fp").filter("doc_id <> rep").select("doc_id")
-        some = copies.limit(SKIPPED + 1).toArrow()["doc_id"].to_numpy()
-        skip = np.sort(some) if len(some) <= SKIPPED else skip
-    buckets = max(16, -(-total // BUCKET_SHINGLES))
-    shared = spark.sparkContext.broadcast(skip)
-    blocks = docs.mapInArrow(lean(_blocks(words, buckets, shared)), BLOCK)
-    answers = blocks.groupBy("bucket").applyInArrow(lean_group(_answer), ANSWER)
-    able = answers.groupBy("batch").applyInArrow(lean_group(_gathered(similar)), "fp binary, n long, keys array<long>")
-    if not unique or len(skip) == 0:
+    left_out = 0
+    if unique:  # copies need not be indexed: a document is known by its id
+        copies = saved(rows.filter("fp is not null").join(classes.filter("copies > 1").drop("copies"), "fp").filter("doc_id <> rep").select("doc_id"), "join-copies")
+        left_out = copies.count()
+        if 0 < left_out <= SKIPPED:
+            docs = docs.join(F.broadcast(copies), "doc_id", "left_anti")
+    entries = step_entries(total)
+    buckets = max(16, -(-total // entries))
+    blocks = docs.mapInArrow(_blocks(words, buckets, entries), BLOCK)
+    answers = dealt(blocks, "bucket", buckets).groupBy("bucket").applyInArrow(_answer, ANSWER)
+    able = dealt(answers, "batch", buckets).groupBy("batch").applyInArrow(_gathered(similar), "fp binary, n long, keys array<long>")
+    if not unique or left_out > SKIPPED:
         able = able.dropDuplicates(["fp"])
     return saved(able.withColumn("node", F.monotonically_increasing_id()), "join-sets")
 
 
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """About as many partitions as groups, within the session's number and 16 times that: few groups share a task."""
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(few, min(groups, 16 * few)), key)
+
+
 def _postings(sets: DataFrame, similar: int) -> DataFrame:
     """(key, node, n, s, j) of the prefix shingles that several classes have."""
     lone = F.col("n") - F.size("keys")
     length = F.col("n") - F.ceil(F.col("n") * similar / F.lit(100.0) - 1e-9) + 1 - lone
     prefix = sets.withColumn("p", length.cast("int")).filter("p > 0")
     postings = prefix.select("node", "n", F.size("keys").alias("s"), F.posexplode(F.slice("keys", 1, F.col("p"))).alias("j", "key"))
-    several = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    several = saved(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "join-several")
     return saved(postings.join(several, "key"), "join-postings")
 
 
@@ -441,8 +464,10 @@ def _linked(sets: DataFrame, similar: int) -> DataFrame | None:
         here = postings.withColumn("comp", F.col("node"))
         if labels is not None:
             here = postings.join(labels.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            several = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            here = saved(here.join(several, "key"), "join-mixed")
+            labelled = saved(here, "join-labelled")
+            several = saved(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "join-several")
+            here = saved(labelled.join(several, "key"), "join-mixed")
+            drop_saved(labelled, several)
             if here.isEmpty():
                 break
         if step == "pairs":
@@ -450,7 +475,8 @@ def _linked(sets: DataFrame, similar: int) -> DataFrame | None:
         else:
             best = here.groupBy("key").agg(*(F.min(F.struct(o.alias("h"), *fields)).alias(f"p{i}") for i, o in enumerate(orders[step])))
             pivots = F.array_distinct(F.array(*(F.struct(*(f"p{i}.{f}" for f in fields)) for i in range(len(orders[step])))))
-            other, apart = best.select("key", F.explode(pivots).alias("p")).select("key", "p.*"), F.col("node") != F.col("other")
+            other = saved(best.select("key", F.explode(pivots).alias("p")).select("key", "p.*"), "join-pivots")
+            apart = F.col("node") != F.col("other")
         other = other.select("key", *(F.col(f).alias(to) for f, to in zip(fields, ("other", "m", "t", "k", "its"))))
         pairs = here.join(other, "key").filter(apart & (F.col("comp") != F.col("its")) & _possible(similar))
         found = saved(verify(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")), sets, similar), "join-links")
@@ -458,6 +484,8 @@ def _linked(sets: DataFrame, similar: int) -> DataFrame | None:
             continue
         # what is connected already enters as its star
         known = found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        labels = saved(components(known), "join-labels")
-        release(sets.sparkSession)
+        rooted = components(known)
+        labels = saved(rooted, "join-labels")
+        drop_saved(rooted)
+    drop_saved(postings)
     return labels

@@ -49,7 +49,7 @@ def corpus(seed, n=260):
     return rows + [(1, None), (2, ""), (3, " \n"), (4, "Ü x"), (5, "ü x"), (6, "ONE two"), (7, "one TWO"), (None, "one two"), (None, rows[0][1]), (8, "a\x0bb c d e " * 3000)]
 
 
-@pytest.mark.parametrize("seed,settings", [(1, {}), (2, {"HOT": 3, "BATCH_DOCS": 40, "BUCKET_SHINGLES": 500}), (3, {"HOT": 2, "BATCH_SHINGLES": 900, "SKIPPED": 2}), (4, {"PIVOTS": 1})])
+@pytest.mark.parametrize("seed,settings", [(1, {}), (2, {"HOT": 3, "BATCH_DOCS": 40, "MOST_ENTRIES": 500}), (3, {"HOT": 2, "MOST_ENTRIES": 900, "SKIPPED": 2}), (4, {"PIVOTS": 1})])
 def test_components_equal_brute_force(spark, monkeypatch, seed, settings):
     for k, v in settings.items():
         monkeypatch.setattr(nj, k, v)
