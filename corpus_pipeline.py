@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramlode.llm import bpe, langid, mixing, ngram_join, pii
-from gramlode.llm.common import saved, table
+from gramlode.llm.common import bounded, saved, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A prediction that is less sure rejects the document; so does a text without a letter.
@@ -24,6 +24,7 @@ BROADCAST_ROWS = 1_000_000
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known stay, with the predicted language in ``lang``. Null and letterless texts go."""
     docs = docs.select(*COLUMNS)
+    bounded(spark)
     model = langid.train(docs.filter(~langid.held_out()))
     told = langid.identify(docs, model, COLUMNS).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
