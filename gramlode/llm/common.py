@@ -74,6 +74,27 @@ def drop_saved(*frames: DataFrame) -> None:
                 del _made[known]
 
 
+def step_entries(total: int, least: int, most: int, block: int = 64) -> int:
+    """Entries of a batch and of a bucket for this many in all: about the square root of ``block`` times all, so that the part of a batch that goes
+    to a bucket keeps that size, within bounds that bound a task's memory."""
+    return int(min(most, max(least, (block * total) ** 0.5)))
+
+
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """About as many partitions as groups, within the session's number and 16 times that: few groups share a task."""
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(few, min(groups, 16 * few)), key)
+
+
+def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: where each combination begins, and every row's number of it."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def text_chunks(batches, column: str = "text", budget: int = CHUNK_BYTES):
     """Of each Arrow batch, slices whose texts hold at most ``budget`` bytes (one row at least): the slice, the
     texts' UTF-8 bytes in one array, and where each begins and the last ends. A null is an empty text."""

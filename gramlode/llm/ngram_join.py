@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import Rolling, bounded, drop_saved, mixed, saved, text_chunks, word_bounds
+from gramlode.llm.common import Rolling, bounded, dealt, drop_saved, mixed, runs_of, saved, step_entries, text_chunks, word_bounds
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, SIMILAR = 4, 85
@@ -99,13 +99,6 @@ def _rows(n: int):
 # ---- exact document frequencies
 
 
-def _new(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted values: where each begins, and every row's number of it."""
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
 def packed_bytes(x: np.ndarray) -> bytes:
     """Sorted integers as differences, byte by byte of rising weight: leading zeros are left to Spark's compression."""
     d = np.diff(x, prepend=x.dtype.type(0))
@@ -120,11 +113,6 @@ def unpacked(raw: bytes) -> np.ndarray:
 BLOCK = "bucket int, batch long, docs boolean, entries binary, hot binary, fps binary, sizes binary"
 
 
-def step_entries(total: int) -> int:
-    """Entries of a batch and of a bucket, for this many in all."""
-    return int(min(MOST_ENTRIES, max(LEAST_ENTRIES, (BLOCK_ENTRIES * total) ** 0.5)))
-
-
 def _blocks(n: int, buckets: int, entries: int):
     """Of each batch of documents: a block of entries (hash << 16 | document) for each bucket, and one that describes the documents."""
 
@@ -150,7 +138,7 @@ def _blocks(n: int, buckets: int, entries: int):
             used, ends = [], []
             for some in (cold, hot):  # hashes rise, and with them their buckets
                 place = ((some >> np.uint64(DOC_BITS + 16)) * np.uint64(buckets) >> np.uint64(HASH_BITS - 16)).astype(np.int64)
-                first, _ = _new(place)
+                first, _ = runs_of(place)
                 used.append(place[first])
                 ends.append(np.append(first, len(some)))
             rows = {name: [] for name in ("bucket", "batch", "docs", "entries", "hot", "fps", "sizes")}
@@ -427,7 +415,7 @@ def _partners(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
         left_out = copies.count()
         if 0 < left_out <= SKIPPED:
             docs = docs.join(F.broadcast(copies), "doc_id", "left_anti")
-    entries = step_entries(total)
+    entries = step_entries(total, min(LEAST_ENTRIES, MOST_ENTRIES), MOST_ENTRIES, BLOCK_ENTRIES)
     buckets = max(16, -(-total // entries))
     blocks = docs.mapInArrow(_blocks(words, buckets, entries), BLOCK)
     answers = dealt(blocks, "bucket", buckets).groupBy("bucket").applyInArrow(_answer, ANSWER)
@@ -437,12 +425,6 @@ def _partners(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
     return saved(able.withColumn("node", F.monotonically_increasing_id()), "join-sets")
 
 
-def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
-    """About as many partitions as groups, within the session's number and 16 times that: few groups share a task."""
-    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(few, min(groups, 16 * few)), key)
-
-
 def _postings(sets: DataFrame, similar: int) -> DataFrame:
     """(key, node, n, s, j) of the prefix shingles that several classes have."""
     lone = F.col("n") - F.size("keys")

@@ -1,15 +1,16 @@
 """Suffix-array dedup: bytes covered by a long string that a document with a smaller id holds, too, are removed.
 
-Sorting the suffixes of a whole corpus in one place does not scale, so equal strings are first brought together. Each window of LENGTH
-bytes has an anchor, the place of its smallest hashed k-gram, which depends on the window's content alone; windows with one anchor
-make a span. Spans meet by the hash of their k-gram: where whole spans are equal, all but the smallest document's are covered at once.
-Only spans whose k-gram is shared with other spans go on, with their text: all their suffixes are sorted, to LENGTH bytes, by
-deep-shallow sorting (multikey quicksort to a shallow depth, blind tries for groups of longer common prefixes), and equal
-neighbours give the rest of the covered windows.
-
-Documents that are copies of a smaller document as a whole are settled by their text's hash and not indexed while they are at most SKIPPED.
-In a batch, only the smallest document of equal spans is sent. Spans of a k-gram that is in many different spans of a batch (HOT) are spread by
-their own hash, and their windows by theirs, so that no key gathers them.
+Sorting the suffixes of a whole corpus in one place does not scale, so strings that may be equal are first brought together. Each window of
+LENGTH bytes has an anchor, the place of its smallest hashed k-gram, which depends on the window's content alone; windows with one anchor
+make a span, and equal windows lie in spans of one k-gram. That is all that hashes decide. Which windows are equal is told by
+deep-shallow sorting of the suffixes in the spans' texts: a radix step on two bytes, multikey quicksort by words to a shallow depth,
+blind tries for groups of longer common prefixes. Of equal windows, those of larger documents are covered.
+
+It is done twice. First each batch of documents for itself, for k-grams that occur in it more than once: what a smaller document of the batch
+covers travels on as intervals and is not sent any more, so that a text with many copies leaves a batch once. Then, for k-grams that are in several
+batches, the texts of the spans that are left are brought together. Spans of equal bytes (compared as bytes) are sorted as one.
+Spans of a k-gram that is in many different spans (HOT) are spread by their own hash, and their windows by theirs, so that no
+key gathers them.
 
 A null text is empty. A null id counts as larger than all ids. Rows with equal ids do not cover each other. Every byte is
 judged on the input. Empty tables give empty results; extra columns are left aside.
@@ -18,18 +19,20 @@ judged on the input. Empty tables give empty results; extra columns are left asi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import Rolling, mixed, saved, text_chunks
+from gramlode.llm.common import Rolling, bounded, dealt, drop_saved, mixed, runs_of, saved, step_entries, text_chunks
 
 #: Bytes of a string that counts as repeated, and of the k-gram at its anchor.
 LENGTH, GRAM = 50, 20
-#: Text of a bucket in the mean, entries of a batch, different spans of a k-gram in a batch from which it is hot, whole copies whose ids are broadcast, bytes looked at together.
-BUCKET_BYTES, BATCH_ENTRIES, HOT, SKIPPED, SEGMENT = 8 << 20, 1_000_000, 256, 2_000_000, 1 << 20
+#: Spans of a batch, and of a bucket in the mean, at least and at most (some 100 bytes of a task's memory each).
+LEAST_ENTRIES, MOST_ENTRIES = 1 << 18, 1 << 22
+#: Different spans of a k-gram in a batch, or spans in a bucket, from which it is hot; bytes of one text looked at together.
+HOT, SEGMENT = 256, 1 << 20
 #: Spans whose text is compared in one bucket, in the mean.
 BUCKET_SPANS = 30_000
 #: Bytes that multikey quicksort compares; longer common prefixes are left to blind tries.
@@ -92,8 +95,8 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
 
 
 #: kinds: 0 spans, 1 spans of a hot k-gram, 2 hot k-grams that others may hold, 3 covered intervals.
-BLOCK = "bucket int, kind int, ids binary, marks binary, grams binary, wholes binary, docs binary, starts binary, ends binary"
-#: kinds: 0 covered intervals, 1 spans whose text is needed, 2 documents covered as a whole.
+BLOCK = "bucket int, kind int, batch long, ids binary, marks binary, grams binary, docs binary, starts binary, ends binary"
+#: kinds: 0 covered intervals, 1 spans whose text is needed.
 FOUND = "key long, mark long, kind int, starts array<int>, ends array<int>, grams array<long>, hot array<boolean>"
 #: Texts (spans, or single windows of hot ones) of a bucket: bytes, lengths, and where they are from.
 TEXTS = "bucket int, texts binary, lens binary, ids binary, marks binary, starts binary"
@@ -108,22 +111,13 @@ def _table(spec: str, rows: list[tuple]):
     return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(cols, fields)], names=[name for name, _ in fields])
 
 
-def _new(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: where each combination begins, and every row's number of it."""
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
 def _found(kind: int, ids, marks, starts, ends, grams=None, hot=None):
     """A row for each document, of flat arrays."""
     import pyarrow as pa
 
     order = np.lexsort((starts, marks, ids))
     ids, marks = ids[order], marks[order]
-    first, _ = _new(ids, marks) if len(ids) else (np.zeros(0, np.int64), None)
+    first, _ = runs_of(ids, marks) if len(ids) else (np.zeros(0, np.int64), None)
     bounds = pa.array(np.append(first, len(ids)).astype(np.int32))
 
     def listed(x, t):
@@ -157,59 +151,84 @@ def _place(x: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(x) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block(bucket: int, kind: int, ids, marks, doc=None, g=None, w=None, start=None, end=None) -> tuple:
+def _block(bucket: int, kind: int, batch: int, ids, marks, doc=None, g=None, start=None, end=None) -> tuple:
     """Rows of one bucket, ordered by k-gram where there are any; ids and marks are held once for each document."""
     if doc is None:
-        return bucket, kind, None, None, g.astype("<u8").tobytes(), None, None, None, None
+        return bucket, kind, batch, None, None, g.astype("<u8").tobytes(), None, None, None
     used, doc = np.unique(doc, return_inverse=True)
     spread = None if g is None else _planes(np.diff(g, prepend=np.uint64(0)), 8)
-    return bucket, kind, ids[used].tobytes(), marks[used].astype("<u4").tobytes(), spread, None if w is None else _planes(w, 6), _planes(doc, 3), _planes(start, 4), _planes(end - start, 4)
+    return bucket, kind, batch, ids[used].tobytes(), marks[used].astype("<u4").tobytes(), spread, _planes(doc, 3), _planes(start, 4), _planes(end - start, 4)
 
 
-def _parted(place: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _parted(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that has rows, and these in their order."""
     order = np.argsort(place, kind="stable")
-    bounds = np.searchsorted(place[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(bounds)).tolist():
-        yield k, order[bounds[k] : bounds[k + 1]]
+    first, _ = runs_of(place[order])
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        yield int(place[order[a]]), order[a:b]
 
 
-def _blocks(buckets: int, skipped, length: int, gram: int):
+def _alike(text: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows, sorted by class, whose bytes are those of their class's first row."""
+    to = first[number]
+    same = size == size[to]
+    some = np.flatnonzero(same & (to != np.arange(len(to))))
+    if len(some):
+        n = size[some]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = text[np.repeat(at[some], n) + step] == text[np.repeat(at[to[some]], n) + step]
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return same
+
+
+def _blocks(buckets: int, entries: int, length: int, gram: int, sort: Callable):
     def run(batches: Iterator) -> Iterator:
-        rolling, skip = Rolling(), skipped.value
+        from pyspark import TaskContext
+
+        rolling, part, number = Rolling(), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         names: list[tuple] = []
-        total = known = 0
+        texts: list[np.ndarray] = []
+        total = known = size = 0
 
         def flush():
-            nonlocal held, names, total, known
+            nonlocal held, names, texts, total, known, size, number
             ids, marks = (np.concatenate(c) for c in zip(*names))
-            doc, g, w, start, end = (np.concatenate(c) for c in zip(*held))
-            held, names, total, known = [], [], 0, 0
+            doc, g, w, at, start, end = (np.concatenate(c) for c in zip(*held))
+            text = np.concatenate(texts)
+            batch, number = part << 24 | number, number + 1
+            held, names, texts, total, known, size = [], [], [], 0, 0, 0
             order = _by_span(g, w, ids[doc])
-            doc, g, w, start, end = (c[order] for c in (doc, g, w, start, end))
-            g, w = g >> HASH, w >> HASH
-            first, number = _new(g, w)
-            covered = ids[doc] > ids[doc[first]][number]
+            doc, g, w, at, start, end = (c[order] for c in (doc, g, w, at, start, end))
+            g = g >> HASH
+            gfirst, gnumber = runs_of(g)
             rows = []
-            if covered.any():  # settled here: merged intervals travel on by document
-                base = doc[covered].astype(np.int64) << 32
-                s, e = merged(base + start[covered], base + end[covered])
+            several = np.flatnonzero((np.bincount(gnumber) > 1)[gnumber])
+            keep = np.ones(len(doc), bool)
+            if len(several):  # settled here: merged intervals travel on by document
+                cfirst, cnumber = runs_of(g[several], w[several])
+                span = (end - start)[several]
+                lone = ~_alike(text, at[several], span, cnumber, cfirst)
+                cnumber = np.where(lone, len(cfirst) + np.cumsum(lone) - 1, cnumber)  # equal hashes, other bytes
+                which, frm, to = covered(text, at[several], span, cnumber, ids[doc[several]], length, sort)
+                which = several[which]
+                base = doc[which].astype(np.int64) << 32
+                s, e = merged(base + start[which] + frm, base + start[which] + to)
                 d = s >> 32
                 base = d << 32
-                for k, p in _parted(_place(ids[d].astype(np.uint64), buckets), buckets):
-                    rows.append(_block(k, 3, ids, marks, d[p], None, None, (s - base)[p], (e - base)[p]))
-            doc, g, w, start, end = (x[~covered] for x in (doc, g, w, start, end))
-            gfirst, gnumber = _new(g)
-            cfirst, _ = _new(g, w)
-            many = np.bincount(gnumber[cfirst], minlength=len(gfirst)) >= HOT
-            hot = many[gnumber]
+                for k, p in _parted(_place(ids[d].astype(np.uint64), buckets)):
+                    rows.append(_block(k, 3, batch, ids, marks, d[p], None, (s - base)[p], (e - base)[p]))
+                keep[which[(frm == 0) & (to == (end - start)[which])]] = False
+            doc, g, w, start, end = (x[keep] for x in (doc, g, w, start, end))
+            gfirst, gnumber = runs_of(g)
+            many = np.bincount(gnumber, minlength=len(gfirst)) >= HOT
+            hot = many[gnumber] if len(g) else np.zeros(0, bool)
             for kind, some in ((0, np.flatnonzero(~hot)), (1, np.flatnonzero(hot))):
-                for k, p in _parted(_place(g[some] if kind == 0 else w[some], buckets), buckets):
+                for k, p in _parted(_place(g[some] if kind == 0 else w[some], buckets)):
                     p = some[p]
-                    rows.append(_block(k, kind, ids, marks, doc[p], g[p], w[p], start[p], end[p]))
+                    rows.append(_block(k, kind, batch, ids, marks, doc[p], g[p], start[p], end[p]))
             h = g[gfirst[many]]
-            rows += [_block(k, 2, None, None, None, h[p]) for k, p in _parted(_place(h, buckets), buckets)]
+            rows += [_block(k, 2, batch, None, None, None, h[p]) for k, p in _parted(_place(h, buckets))]
             return _table(BLOCK, rows).to_batches()
 
         for rows_, data, offs in text_chunks(batches, budget=SEGMENT):
@@ -219,16 +238,17 @@ def _blocks(buckets: int, skipped, length: int, gram: int):
             else:  # one long text, in stretches that share all but one byte of a window
                 parts = [(a, data[a : a + SEGMENT + length - 1], None) for a in range(0, len(data) - length + 1, SEGMENT)]
             names.append((ids, marks))
-            for begin, part, bounds in parts:
-                bounds = np.array([0, len(part)]) if bounds is None else bounds
-                g, w, doc, start, last = spans(part, bounds, rolling, length, gram)
-                keep = ~np.isin(ids, skip)[doc] if len(skip) else np.ones(len(doc), bool)
-                start = start[keep] + begin
-                held.append((doc[keep] + known, g[keep], w[keep], start, start + last[keep] + length))
+            for begin, piece, bounds in parts:
+                bounds = np.array([0, len(piece)]) if bounds is None else bounds
+                g, w, doc, start, last = spans(piece, bounds, rolling, length, gram)
+                held.append((doc + known, g, w, bounds[doc] + start + size, start + begin, start + begin + last + length))
+                texts.append(piece.copy())
+                size += len(piece)
                 total += len(start)
-            known += len(ids)
-            if total >= BATCH_ENTRIES:
-                yield from flush()
+                if total >= entries:
+                    yield from flush()
+                    names.append((ids, marks))
+            known = sum(len(n) for n, _ in names)
         if total:
             yield from flush()
 
@@ -236,42 +256,42 @@ def _blocks(buckets: int, skipped, length: int, gram: int):
 
 
 def _matched(_, rows):
-    """A bucket of spans: equal spans cover all but the smallest document's; k-grams in several spans ask for text."""
+    """A bucket of spans: those whose k-gram several batches hold ask for text."""
     got: dict[int, list] = {0: [], 1: [], 2: [], 3: []}
-    for kind, ids, marks, grams, wholes, docs, starts, lens in zip(*(rows.column(c).to_pylist() for c in ("kind", "ids", "marks", "grams", "wholes", "docs", "starts", "ends"))):
+    for kind, batch, ids, marks, grams, docs, starts, lens in zip(*(rows.column(c).to_pylist() for c in ("kind", "batch", "ids", "marks", "grams", "docs", "starts", "ends"))):
         if kind == 2:
             got[2].append(np.frombuffer(grams, "<u8"))
             continue
         doc = _unplanes(docs, 3).astype(np.int64)
         start = _unplanes(starts, 4).astype(np.int32)
         g = np.cumsum(_unplanes(grams, 8)) if grams is not None else np.zeros(len(doc), np.uint64)
-        w = _unplanes(wholes, 6) if wholes is not None else np.zeros(len(doc), np.uint64)
-        got[kind].append((np.frombuffer(ids, np.int64)[doc], np.frombuffer(marks, "<u4")[doc], g, w, start, start + _unplanes(lens, 4).astype(np.int32)))
+        got[kind].append((np.frombuffer(ids, np.int64)[doc], np.frombuffer(marks, "<u4")[doc], g, start, start + _unplanes(lens, 4).astype(np.int32), np.full(len(doc), batch)))
     out = []
     if got[3]:
-        ids, marks, _, _, start, end = (np.concatenate(c) for c in zip(*got[3]))
+        ids, marks, _, start, end, _ = (np.concatenate(c) for c in zip(*got[3]))
         out.append(_found(0, ids, marks, start, end))
     shared = np.unique(np.concatenate(got[2])) if got[2] else np.zeros(0, np.uint64)
-    for kind in (0, 1):
-        if not got[kind]:
-            continue
-        ids, marks, g, w, start, end = (np.concatenate(c) for c in zip(*got[kind]))
-        got[kind] = []
-        order = _by_span(g, w, ids)
-        ids, marks, g, w, start, end = (c[order] for c in (ids, marks, g, w, start, end))
-        first, number = _new(g, w)
-        covered = ids > ids[first][number]
-        out.append(_found(0, ids[covered], marks[covered], start[covered], end[covered]))
-        gfirst, gnumber = _new(g)
-        of_class = gnumber[first]
-        classes = np.bincount(of_class, minlength=len(gfirst))
-        at = np.searchsorted(of_class, np.arange(len(gfirst)))
-        low, high = np.minimum.reduceat(ids[first], at), np.maximum.reduceat(ids[first], at)
-        told = np.isin(g[gfirst], shared) if kind == 0 else np.ones(len(gfirst), bool)
-        need = told | (classes > 1) & (high > low)
-        hot = told | (classes >= HOT)
-        ask = ~covered & need[gnumber]
-        out.append(_found(1, ids[ask], marks[ask], start[ask], end[ask], g[ask], hot[gnumber][ask]))
+    if got[0]:
+        ids, marks, g, start, end, batch = (np.concatenate(c) for c in zip(*got[0]))
+        got[0] = []
+        order = np.argsort(g)
+        s = g[order]
+        told = np.isin(s, shared)
+        near = told.copy()  # the others' k-grams that occur once have no partner
+        near[1:] |= s[1:] == s[:-1]
+        near[:-1] |= s[:-1] == s[1:]
+        order, told = order[near], told[near]
+        ids, marks, g, start, end, batch = (c[order] for c in (ids, marks, g, start, end, batch))
+        if len(g):
+            first, number = runs_of(g)
+            apart = np.minimum.reduceat(batch, first) < np.maximum.reduceat(batch, first)
+            apart &= np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+            hot = told | (np.diff(first, append=len(g)) >= HOT)[number]
+            ask = told | apart[number]
+            out.append(_found(1, ids[ask], marks[ask], start[ask], end[ask], g[ask], hot[ask]))
+    if got[1]:
+        ids, marks, g, start, end, _ = (np.concatenate(c) for c in zip(*got[1]))
+        out.append(_found(1, ids, marks, start, end, g, np.ones(len(g), bool)))
     return _joined(out)
 
 
@@ -297,7 +317,7 @@ def _texts(buckets: int, length: int):
                     doc = np.concatenate((doc[~hot], np.repeat(doc[hot], many)))
                     start, size = np.concatenate((start[~hot], s)), np.concatenate((size[~hot], np.full(len(s), length)))
                 rows = []
-                for k, p in _parted(place, buckets):
+                for k, p in _parted(place):
                     n = size[p].astype(np.int64)
                     texts = data[np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                     rows.append((k, texts.tobytes(), n.astype("<u4").tobytes(), keys[doc[p]].tobytes(), marks[doc[p]].astype("<u4").tobytes(), (start[p] - offs[doc[p]]).astype("<i4").tobytes()))
@@ -354,60 +374,149 @@ class BlindTrie:
                 stack += [node[1][b] for b in sorted(node[1], reverse=True)]
 
 
-def equal_suffixes(text: np.ndarray, places: np.ndarray, length: int) -> Iterator[np.ndarray]:
-    """Groups of two or more of ``places`` from which ``length`` equal bytes start, in the order of their suffixes.
-
-    Multikey quicksort takes words of 8 bytes as keys: each round splits all groups that are still equal by their next word, and
-    drops what stands alone, until SHALLOW bytes are equal; blind tries sort the groups that remain."""
+def multikey_quicksort(places: np.ndarray, word: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``places`` in the order of the ``deep`` bytes there (a multiple of 8), and where the groups that are equal so far begin and how long they are.
+
+    A radix step on two bytes makes the first groups. Then each group is split by its pivot, the median of three keys of one word, into less, equal and
+    greater; the equal part goes on with the next word. All groups take their step at once; what stands alone takes none."""
+    lead = (word[places] >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(lead, kind="stable")
+    places = places[order]
+    first, _ = runs_of(lead[order]) if len(places) else (np.zeros(0, np.int64), None)
+    size = np.diff(first, append=len(places))
+    alone = size < 2
+    at = np.flatnonzero(np.repeat(~alone, size))
+    size = size[~alone]
+    depth = np.zeros(len(size), np.int64)
+    starts, sizes = [], []
+    while len(size):
+        group = np.repeat(np.arange(len(size)), size)
+        begin = np.cumsum(size) - size
+        here = places[at]
+        key = word[here + depth[group]]
+        a, b, c = key[begin], key[begin + size // 2], key[begin + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        side = (key > pivot) * np.int8(2) + (key == pivot)
+        count = np.bincount(group * 3 + side, minlength=3 * len(size)).reshape(-1, 3)
+        offset = (np.cumsum(count) - count.ravel()).reshape(-1, 3)
+        moved = np.empty_like(here)
+        for k in range(3):
+            some = np.flatnonzero(side == k)
+            rank = np.arange(len(some)) - np.repeat(np.cumsum(count[:, k]) - count[:, k], count[:, k])
+            moved[np.repeat(offset[:, k], count[:, k]) + rank] = here[some]
+        places[at] = moved
+        count, offset, depth = count.ravel(), offset.ravel(), np.repeat(depth, 3)
+        depth[1::3] += 8
+        ready = (count > 1) & (depth >= deep)
+        starts.append(at[offset[ready]])
+        sizes.append(count[ready])
+        on = (count > 1) & ~ready
+        at = at[np.repeat(on, count)]
+        size, depth = count[on], depth[on]
+    if not starts:
+        return places, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, size = np.concatenate(starts), np.concatenate(sizes)
+    order = np.argsort(start)
+    return places, start[order], size[order]
+
+
+def equal_suffixes(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``places`` from which the same ``length`` bytes start as from another one, and the numbers of their groups.
+
+    Multikey quicksort orders them to SHALLOW bytes; groups that are still equal there go to a blind trie each, unless all the rest is equal, too."""
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     word = np.zeros(len(text), np.uint64)
     for i in range(8):
         word <<= np.uint64(8)
         word |= padded[i : i + len(text)]
-    group = np.zeros(len(places), np.int64)
-    for depth in range(0, min(SHALLOW, length) // 8 * 8, 8):
-        key = word[places + depth]
-        order = np.lexsort((key, group))
-        places, group, key = places[order], group[order], key[order]
-        if not len(places):
-            return
-        first, number = _new(group, key)
-        together = np.diff(first, append=len(places)) > 1
-        keep = together[number]
-        places, group = places[keep], number[keep]
-    raw = text.tobytes()
     deep = min(SHALLOW, length) // 8 * 8
-    first, _ = _new(group) if len(group) else (np.zeros(0, int), None)
-    for a, b in zip(first.tolist(), np.append(first[1:], len(group)).tolist()):
+    if deep:
+        places, start, size = multikey_quicksort(places, word, deep)
+    else:
+        start, size = np.zeros(1, np.int64), np.array([len(places)])
+    begin = np.cumsum(size) - size
+    flat = places[np.repeat(start - begin, size) + np.arange(size.sum())]
+    lead = np.repeat(flat[begin], size) if len(flat) else flat
+    same = np.ones(len(flat), bool)
+    for d in [*range(deep, length - 7, 8), *([length - 8] if length >= 8 else [])]:
+        same &= word[flat + d] == word[lead + d]
+    if not deep and len(flat):
+        same[:] = False
+    whole = np.logical_and.reduceat(same, begin) if len(flat) else np.zeros(0, bool)
+    found, group = [flat[np.repeat(whole, size)]], [np.repeat(np.arange(len(size))[whole], size[whole])]
+    number, raw = len(size), text.tobytes()
+    for a, n in zip(begin[~whole].tolist(), size[~whole].tolist()):
         trie = BlindTrie(length - deep)
-        for p in places[a:b].tolist():
+        for p in flat[a : a + n].tolist():
             trie.add(raw[p + deep : p + length], p)
         for items in trie.groups():
             if len(items) > 1:
-                yield np.array(items)
-
-
-def _compared(length: int):
+                found.append(np.array(items))
+                group.append(np.full(len(items), number))
+                number += 1
+    return np.concatenate(found).astype(np.int64), np.concatenate(group).astype(np.int64)
+
+
+def covered(text: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarray, ids: np.ndarray, length: int, sort: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (where their text is, its size, the number of their class of equal texts, their document): which spans have bytes that a smaller document covers, and from
+    where to where. Each class is sorted once; the sorter tells which of its windows are equal to others, and of those of one text in several
+    documents whether they are there."""
+    order = np.lexsort((ids, number))
+    at, size, number, ids = (x[order] for x in (at, size, number, ids))
+    first, of = runs_of(number)
+    least, last = ids[first], ids[np.append(first[1:], len(ids)) - 1]
+    windows = size[first] - length + 1
+    spread = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(first)), windows)
+    places = at[first][owner] + np.arange(len(owner)) - spread[owner]
+    # windows of a text that several documents hold are sorted twice over: they are found equal to themselves
+    twice = (last > least)[owner]
+    found, group = sort(text, np.concatenate((places, places[twice])), length)
+    if not len(found):
+        return (np.zeros(0, np.int64),) * 3
+    index = np.argsort(places)  # no window is in two spans
+    klass = owner[index[np.searchsorted(places[index], found)]]
+    gfirst, gnumber = runs_of(group)
+    lowest = np.minimum.reduceat(least[klass], gfirst)[gnumber]
+    p, once = np.unique(found, return_index=True)
+    k, lowest = klass[once], lowest[once]
+    # the whole of what larger documents of a class hold, if all its windows were found
+    complete = np.bincount(k, minlength=len(first)) == windows
+    others = np.flatnonzero((ids > least[of]) & complete[of])
+    out = [(others, np.zeros(len(others), np.int64), size[others])]
+    # of the smallest document of a class, what still smaller ones hold
+    hit = np.flatnonzero(lowest < least[k])
+    if len(hit):
+        hit = hit[np.lexsort((p[hit], k[hit]))]
+        k, p = k[hit], p[hit]
+        run = np.ones(len(k), bool)
+        run[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)
+        a = np.flatnonzero(run)
+        b = np.append(a[1:], len(k)) - 1
+        k, frm, to = k[a], p[a] - at[first][k[a]], p[b] - at[first][k[a]] + length
+        firsts = np.flatnonzero(ids == least[of])  # sorted by class
+        lo, hi = np.searchsorted(of[firsts], k), np.searchsorted(of[firsts], k, "right")
+        n = hi - lo
+        rows = firsts[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        out.append((rows, np.repeat(frm, n), np.repeat(to, n)))
+    which, frm, to = (np.concatenate(c) for c in zip(*out))
+    return order[which], frm, to
+
+
+def _compared(length: int, sort: Callable):
     """A bucket of texts: windows that a smaller document has, too."""
 
     def run(_, rows):
-        text = np.frombuffer(b"".join(rows.column("texts").to_pylist()), np.uint8)
+        raw = b"".join(rows.column("texts").to_pylist())
         lens = np.frombuffer(b"".join(rows.column("lens").to_pylist()), "<u4").astype(np.int64)
         ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), np.int64)
         marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), "<u4").astype(np.int64)
         starts = np.frombuffer(b"".join(rows.column("starts").to_pylist()), "<i4").astype(np.int64)
         begin = np.cumsum(lens) - lens
-        windows = lens - length + 1
-        of = np.repeat(np.arange(len(lens)), windows)
-        places = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = [np.zeros(0, np.int64)]
-        for group in equal_suffixes(text, places, length):
-            owner = ids[np.searchsorted(begin, group, "right") - 1]
-            hit.append(group[owner > owner.min()])
-        p = np.concatenate(hit)
-        o = np.searchsorted(begin, p, "right") - 1
-        s = starts[o] + p - begin[o]
-        return _found(0, ids[o], marks[o], s, s + length)
+        numbers: dict[bytes, int] = {}
+        number = np.array([numbers.setdefault(raw[a : a + n], len(numbers)) for a, n in zip(begin.tolist(), lens.tolist())], np.int64)
+        which, frm, to = covered(np.frombuffer(raw, np.uint8), begin, lens, number, ids, length, sort)
+        return _found(0, ids[which], marks[which], starts[which] + frm, starts[which] + to)
 
     return run
 
@@ -425,9 +534,9 @@ def _kept(full: bool):
             flat = [batch.column(batch.schema.get_field_index(c)) for c in ("starts", "ends")]
             bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(flat[0]), 0).to_numpy())))
             starts, ends = (f.flatten().to_numpy().astype(np.int64) for f in flat)
-            for i, (text, whole) in enumerate(zip(batch.column("text"), batch.column("whole").to_pylist())):
+            for i, text in enumerate(batch.column("text")):
                 raw = text.as_py()
-                s, e = (np.array([0]), np.array([len(raw)])) if whole else merged(starts[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]])
+                s, e = merged(starts[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]])
                 kept = b"".join(raw[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(raw)])) if len(s) else raw
                 for col, v in zip(cols, (len(raw), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept)):
                     col.append(v)
@@ -441,35 +550,28 @@ def _kept(full: bool):
     return run
 
 
-def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, full: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``full``, the bytes that are kept."""
+def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, full: bool = True, sort: Callable = equal_suffixes) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``full``, the bytes that are kept. ``sort`` tells equal suffixes."""
     if not gram < length < 256:
         raise ValueError("the k-gram must be shorter than the string, the string shorter than 256 bytes")
-    spark = docs.sparkSession
+    bounded(docs.sparkSession)
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("mark", F.crc32("text"))
-    slim = saved(docs.select("key", "mark", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("h")), "substr-rows")
-    total, rows, ids = slim.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.countDistinct("key")).first()
-    copies = slim.filter(F.col("n") >= length).join(slim.groupBy("h").agg(F.min("key").alias("least"), F.count("*").alias("c")).filter("c > 1"), "h").filter("key > least").select("key", "mark")
-    skip = np.zeros(0, np.int64)
-    if rows == ids:  # a document is known by its id
-        some = copies.select("key").limit(SKIPPED + 1).toArrow()["key"].to_numpy()
-        skip = np.sort(some) if len(some) <= SKIPPED else skip
-    buckets = max(16, -(-total // BUCKET_BYTES))
-    shared = spark.sparkContext.broadcast(skip)
-    blocks = docs.select("key", "mark", "text").mapInArrow(_blocks(buckets, shared, length, gram), BLOCK)
-    found = saved(blocks.groupBy("bucket").applyInArrow(_matched, FOUND), "substr-found")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    spans_all = total // max(1, (length - gram + 2) // 2) + 1  # a k-gram is smallest about once in half a window
+    entries = step_entries(spans_all, min(LEAST_ENTRIES, MOST_ENTRIES), MOST_ENTRIES)
+    buckets = max(16, -(-spans_all // entries))
+    blocks = docs.select("key", "mark", "text").mapInArrow(_blocks(buckets, entries, length, gram, sort), BLOCK)
+    found = saved(dealt(blocks, "bucket", buckets).groupBy("bucket").applyInArrow(_matched, FOUND), "substr-found")
     lists = lambda *names: [F.flatten(F.collect_list(c)).alias(c) for c in names]
     want = found.filter("kind = 1")
     spans_asked = want.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
     asked = want.groupBy("key", "mark").agg(*lists("starts", "ends", "grams", "hot"))
     smaller = max(16, -(-spans_asked // BUCKET_SPANS))
     texts = docs.join(asked, ["key", "mark"]).select("key", "mark", "text", "starts", "ends", "grams", "hot").mapInArrow(_texts(smaller, length), TEXTS)
-    more = saved(texts.groupBy("bucket").applyInArrow(_compared(length), FOUND), "substr-more")
-    covers = found.filter("kind = 0").unionByName(more).select("key", "mark", "starts", "ends", F.lit(False).alias("whole"))
-    if len(skip):
-        none = F.array().cast("array<int>")
-        covers = covers.unionByName(copies.select("key", "mark", none.alias("starts"), none.alias("ends"), F.lit(True).alias("whole")))
-    covers = covers.groupBy("key", "mark").agg(*lists("starts", "ends"), F.max("whole").alias("whole"))
+    more = saved(dealt(texts, "bucket", smaller).groupBy("bucket").applyInArrow(_compared(length, sort), FOUND), "substr-more")
+    covers = found.filter("kind = 0").unionByName(more).select("key", "mark", "starts", "ends").groupBy("key", "mark").agg(*lists("starts", "ends"))
+    covers = saved(covers, "substr-covers")
+    drop_saved(found, more)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
-    return docs.join(covers, ["key", "mark"], "left").select("doc_id", "text", "starts", "ends", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_kept(full), schema)
+    return docs.join(covers, ["key", "mark"], "left").select("doc_id", "text", "starts", "ends").mapInArrow(_kept(full), schema)

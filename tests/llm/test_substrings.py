@@ -50,9 +50,9 @@ def corpus(seed, n=150):
 
 @pytest.mark.parametrize("seed,settings,more", [
     (1, {}, []),
-    (2, {"HOT": 2, "BATCH_ENTRIES": 300, "BUCKET_BYTES": 3000}, []),
-    (3, {"HOT": 3, "SKIPPED": 1, "SEGMENT": 200, "BATCH_ENTRIES": 500}, []),
-    (4, {"BATCH_ENTRIES": 100}, [(None, "a" * 60), (None, "zz" * 60), (None, "zz" * 60), (2003, "a" * 500), (2003, "other text that is long enough to count as one, see? yes")]),
+    (2, {"HOT": 2, "MOST_ENTRIES": 300}, []),
+    (3, {"HOT": 3, "SEGMENT": 200, "MOST_ENTRIES": 500}, []),
+    (4, {"MOST_ENTRIES": 100, "BUCKET_SPANS": 40}, [(None, "a" * 60), (None, "zz" * 60), (None, "zz" * 60), (2003, "a" * 500), (2003, "other text that is long enough to count as one, see? yes")]),
 ])
 def test_equals_brute_force(spark, monkeypatch, seed, settings, more):
     for k, v in settings.items():
@@ -76,8 +76,31 @@ def test_deep_shallow_groups():
     groups = {}
     for p in places.tolist():
         groups.setdefault(text[p : p + 50].tobytes(), []).append(p)
-    want = [v for _, v in sorted(groups.items()) if len(v) > 1]
-    assert [sorted(g.tolist()) for g in sub.equal_suffixes(text, places, 50)] == want
+    want = sorted(v for v in groups.values() if len(v) > 1)
+    found, number = sub.equal_suffixes(text, places, 50)
+    assert (np.diff(number) >= 0).all()
+    assert sorted(sorted(found[number == n].tolist()) for n in set(number.tolist())) == want
+
+
+def test_multikey_quicksort_orders():
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 100, 4000).astype(np.uint8)
+    text[1000:1400] = text[200:600]
+    raw = text.tobytes() + bytes(8)
+    word = np.array([int.from_bytes(raw[i : i + 8], "big") for i in range(len(text))], np.uint64)
+    places = rng.permutation(len(text) - 32)
+    got, start, size = sub.multikey_quicksort(places, word, 32)
+    keys = [raw[p : p + 32] for p in got.tolist()]
+    assert keys == sorted(keys) and len(start) > 300
+    assert all(len(set(keys[a : a + n])) == 1 for a, n in zip(start.tolist(), size.tolist()))
+
+
+def test_only_the_sorter_removes(spark):
+    """With a sorter that finds nothing, nothing is removed: hashes only bring texts together."""
+    none = lambda text, places, length: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    df = spark.createDataFrame(corpus(5), "doc_id long, text string").repartition(3)
+    assert sub.dedup(df, sort=none).agg(F.sum("n_removed")).first()[0] == 0
+    assert sub.dedup(df).agg(F.sum("n_removed")).first()[0] > 1000
 
 
 def test_blind_trie_orders():
