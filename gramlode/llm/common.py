@@ -80,6 +80,12 @@ def step_entries(total: int, least: int, most: int, block: int = 64) -> int:
     return int(min(most, max(least, (block * total) ** 0.5)))
 
 
+def hot_from(total: int, entries: int, least: int) -> int:
+    """How often a key must be in a batch to be hot: other keys then fill half of a bucket at most, however many batches hold them; for sizes
+    above the least of step_entries(), 32 would do whatever the total."""
+    return max(least, entries * entries // (2 * max(1, total)))
+
+
 def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
     """About as many partitions as groups, within the session's number and 16 times that: few groups share a task."""
     few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

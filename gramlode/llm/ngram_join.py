@@ -28,13 +28,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import Rolling, bounded, dealt, drop_saved, mixed, runs_of, saved, step_entries, text_chunks, word_bounds
+from gramlode.llm.common import Rolling, bounded, dealt, drop_saved, hot_from, mixed, runs_of, saved, step_entries, text_chunks, word_bounds
 
 #: Words of a shingle, and least similarity in hundredths.
 WORDS, SIMILAR = 4, 85
 #: Entries of a batch, and of a bucket in the mean, at least and at most (about 64 bytes of a task's memory each); entries that a block should hold.
 LEAST_ENTRIES, MOST_ENTRIES, BLOCK_ENTRIES = 1 << 18, 1 << 23, 64
-#: Documents of a batch at most; documents of a batch from which a shingle is hot.
+#: Documents of a batch at most; documents of a batch from which a shingle is hot, at least (see common.hot_from).
 BATCH_DOCS, HOT = 60_000, 32
 #: Copies whose ids are broadcast so that they are not indexed (8 bytes each); with more, they are indexed, too.
 SKIPPED = 2_000_000
@@ -113,7 +113,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 BLOCK = "bucket int, batch long, docs boolean, entries binary, hot binary, fps binary, sizes binary"
 
 
-def _blocks(n: int, buckets: int, entries: int):
+def _blocks(n: int, buckets: int, entries: int, from_hot: int):
     """Of each batch of documents: a block of entries (hash << 16 | document) for each bucket, and one that describes the documents."""
 
     def run(batches: Iterator) -> Iterator:
@@ -131,7 +131,7 @@ def _blocks(n: int, buckets: int, entries: int):
             hashes = x >> np.uint64(DOC_BITS)
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
             counts = np.diff(first, append=len(x))
-            many = counts >= HOT
+            many = counts >= from_hot
             hot = hashes[first[many]] << np.uint64(DOC_BITS) | np.minimum(counts[many], 0xFFFF).astype(np.uint64)
             of_hot = np.repeat(many, counts)
             cold = x[~of_hot]
@@ -417,7 +417,7 @@ def _partners(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
             docs = docs.join(F.broadcast(copies), "doc_id", "left_anti")
     entries = step_entries(total, min(LEAST_ENTRIES, MOST_ENTRIES), MOST_ENTRIES, BLOCK_ENTRIES)
     buckets = max(16, -(-total // entries))
-    blocks = docs.mapInArrow(_blocks(words, buckets, entries), BLOCK)
+    blocks = docs.mapInArrow(_blocks(words, buckets, entries, hot_from(total, entries, HOT)), BLOCK)
     answers = dealt(blocks, "bucket", buckets).groupBy("bucket").applyInArrow(_answer, ANSWER)
     able = dealt(answers, "batch", buckets).groupBy("batch").applyInArrow(_gathered(similar), "fp binary, n long, keys array<long>")
     if not unique or left_out > SKIPPED:

@@ -25,15 +25,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import Rolling, bounded, dealt, drop_saved, mixed, runs_of, saved, step_entries, text_chunks
+from gramlode.llm.common import Rolling, bounded, dealt, drop_saved, hot_from, mixed, runs_of, saved, step_entries, text_chunks
 
 #: Bytes of a string that counts as repeated, and of the k-gram at its anchor.
 LENGTH, GRAM = 50, 20
 #: Spans of a batch, and of a bucket in the mean, at least and at most (some 100 bytes of a task's memory each).
 LEAST_ENTRIES, MOST_ENTRIES = 1 << 18, 1 << 22
-#: Different spans of a k-gram in a batch, or spans in a bucket, from which it is hot; bytes of one text looked at together.
-HOT, SEGMENT = 256, 1 << 20
-#: Spans whose text is compared in one bucket, in the mean.
+#: Different spans of a k-gram in a batch from which it is hot, at least (see common.hot_from); bytes of one text looked at together.
+HOT, SEGMENT = 32, 1 << 20
+#: Spans whose text is compared in one bucket, in the mean; a k-gram with an eighth of them is hot, too.
 BUCKET_SPANS = 30_000
 #: Bytes that multikey quicksort compares; longer common prefixes are left to blind tries.
 SHALLOW = 32
@@ -99,7 +99,7 @@ BLOCK = "bucket int, kind int, batch long, ids binary, marks binary, grams binar
 #: kinds: 0 covered intervals, 1 spans whose text is needed.
 FOUND = "key long, mark long, kind int, starts array<int>, ends array<int>, grams array<long>, hot array<boolean>"
 #: Texts (spans, or single windows of hot ones) of a bucket: bytes, lengths, and where they are from.
-TEXTS = "bucket int, texts binary, lens binary, ids binary, marks binary, starts binary"
+TEXTS = "bucket int, texts binary, lens binary, grams binary, ids binary, marks binary, starts binary"
 
 
 def _table(spec: str, rows: list[tuple]):
@@ -181,7 +181,7 @@ def _alike(text: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarra
     return same
 
 
-def _blocks(buckets: int, entries: int, length: int, gram: int, sort: Callable):
+def _blocks(buckets: int, entries: int, from_hot: int, length: int, gram: int, sort: Callable):
     def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
@@ -210,7 +210,7 @@ def _blocks(buckets: int, entries: int, length: int, gram: int, sort: Callable):
                 span = (end - start)[several]
                 lone = ~_alike(text, at[several], span, cnumber, cfirst)
                 cnumber = np.where(lone, len(cfirst) + np.cumsum(lone) - 1, cnumber)  # equal hashes, other bytes
-                which, frm, to = covered(text, at[several], span, cnumber, ids[doc[several]], length, sort)
+                which, frm, to = covered(text, at[several], span, gnumber[several], cnumber, ids[doc[several]], length, sort)
                 which = several[which]
                 base = doc[which].astype(np.int64) << 32
                 s, e = merged(base + start[which] + frm, base + start[which] + to)
@@ -221,7 +221,7 @@ def _blocks(buckets: int, entries: int, length: int, gram: int, sort: Callable):
                 keep[which[(frm == 0) & (to == (end - start)[which])]] = False
             doc, g, w, start, end = (x[keep] for x in (doc, g, w, start, end))
             gfirst, gnumber = runs_of(g)
-            many = np.bincount(gnumber, minlength=len(gfirst)) >= HOT
+            many = np.bincount(gnumber, minlength=len(gfirst)) >= from_hot
             hot = many[gnumber] if len(g) else np.zeros(0, bool)
             for kind, some in ((0, np.flatnonzero(~hot)), (1, np.flatnonzero(hot))):
                 for k, p in _parted(_place(g[some] if kind == 0 else w[some], buckets)):
@@ -286,7 +286,7 @@ def _matched(_, rows):
             first, number = runs_of(g)
             apart = np.minimum.reduceat(batch, first) < np.maximum.reduceat(batch, first)
             apart &= np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
-            hot = told | (np.diff(first, append=len(g)) >= HOT)[number]
+            hot = told | (np.diff(first, append=len(g)) >= BUCKET_SPANS // 8)[number]
             ask = told | apart[number]
             out.append(_found(1, ids[ask], marks[ask], start[ask], end[ask], g[ask], hot[ask]))
     if got[1]:
@@ -315,12 +315,13 @@ def _texts(buckets: int, length: int):
                     rolling.over(data)
                     place = np.concatenate((place[~hot], _place(rolling.of(s, s + length), buckets)))
                     doc = np.concatenate((doc[~hot], np.repeat(doc[hot], many)))
+                    g = np.concatenate((g[~hot], np.repeat(g[hot], many)))
                     start, size = np.concatenate((start[~hot], s)), np.concatenate((size[~hot], np.full(len(s), length)))
                 rows = []
                 for k, p in _parted(place):
                     n = size[p].astype(np.int64)
                     texts = data[np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    rows.append((k, texts.tobytes(), n.astype("<u4").tobytes(), keys[doc[p]].tobytes(), marks[doc[p]].astype("<u4").tobytes(), (start[p] - offs[doc[p]]).astype("<i4").tobytes()))
+                    rows.append((k, texts.tobytes(), n.astype("<u4").tobytes(), g[p].astype("<u8").tobytes(), keys[doc[p]].tobytes(), marks[doc[p]].astype("<u4").tobytes(), (start[p] - offs[doc[p]]).astype("<i4").tobytes()))
                 yield from _table(TEXTS, rows).to_batches()
 
     return run
@@ -374,15 +375,15 @@ class BlindTrie:
                 stack += [node[1][b] for b in sorted(node[1], reverse=True)]
 
 
-def multikey_quicksort(places: np.ndarray, word: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``places`` in the order of the ``deep`` bytes there (a multiple of 8), and where the groups that are equal so far begin and how long they are.
+def multikey_quicksort(places: np.ndarray, word: np.ndarray, deep: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ``places`` by ``near`` and then by the ``deep`` bytes there (a multiple of 8), and where the groups that are equal so far begin and
+    how long they are.
 
-    A radix step on two bytes makes the first groups. Then each group is split by its pivot, the median of three keys of one word, into less, equal and
-    greater; the equal part goes on with the next word. All groups take their step at once; what stands alone takes none."""
-    lead = (word[places] >> np.uint64(48)).astype(np.uint16)
-    order = np.argsort(lead, kind="stable")
-    places = places[order]
-    first, _ = runs_of(lead[order]) if len(places) else (np.zeros(0, np.int64), None)
+    A step on ``near`` and two bytes makes the first groups. Then each group is split by its pivot, the median of three keys of one word, into less,
+    equal and greater; the equal part goes on with the next word. All groups take their step at once; what stands alone takes none."""
+    lead = near << 16 | (word[places] >> np.uint64(48)).astype(np.int64)
+    ranks = np.argsort(lead)
+    first, _ = runs_of(lead[ranks]) if len(places) else (np.zeros(0, np.int64), None)
     size = np.diff(first, append=len(places))
     alone = size < 2
     at = np.flatnonzero(np.repeat(~alone, size))
@@ -392,8 +393,8 @@ def multikey_quicksort(places: np.ndarray, word: np.ndarray, deep: int) -> tuple
     while len(size):
         group = np.repeat(np.arange(len(size)), size)
         begin = np.cumsum(size) - size
-        here = places[at]
-        key = word[here + depth[group]]
+        here = ranks[at]
+        key = word[places[here] + depth[group]]
         a, b, c = key[begin], key[begin + size // 2], key[begin + size - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
         side = (key > pivot) * np.int8(2) + (key == pivot)
@@ -404,7 +405,7 @@ def multikey_quicksort(places: np.ndarray, word: np.ndarray, deep: int) -> tuple
             some = np.flatnonzero(side == k)
             rank = np.arange(len(some)) - np.repeat(np.cumsum(count[:, k]) - count[:, k], count[:, k])
             moved[np.repeat(offset[:, k], count[:, k]) + rank] = here[some]
-        places[at] = moved
+        ranks[at] = moved
         count, offset, depth = count.ravel(), offset.ravel(), np.repeat(depth, 3)
         depth[1::3] += 8
         ready = (count > 1) & (depth >= deep)
@@ -414,28 +415,31 @@ def multikey_quicksort(places: np.ndarray, word: np.ndarray, deep: int) -> tuple
         at = at[np.repeat(on, count)]
         size, depth = count[on], depth[on]
     if not starts:
-        return places, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return ranks, np.zeros(0, np.int64), np.zeros(0, np.int64)
     start, size = np.concatenate(starts), np.concatenate(sizes)
     order = np.argsort(start)
-    return places, start[order], size[order]
+    return ranks, start[order], size[order]
 
 
-def equal_suffixes(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of ``places`` from which the same ``length`` bytes start as from another one, and the numbers of their groups.
+def equal_suffixes(text: np.ndarray, places: np.ndarray, length: int, near: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``places`` (their numbers) have the same ``length`` bytes as another one that is ``near`` (has the same number there), and their groups' numbers, rising.
+    A place alone is a group if its text is ``held`` by several documents.
 
     Multikey quicksort orders them to SHALLOW bytes; groups that are still equal there go to a blind trie each, unless all the rest is equal, too."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    word = np.zeros(len(text), np.uint64)
+    padded = np.concatenate((text, np.zeros(16, np.uint8)))
+    word = np.empty(len(text) // 8 * 8 + 8, np.uint64)
     for i in range(8):
-        word <<= np.uint64(8)
-        word |= padded[i : i + len(text)]
+        word[i::8] = padded[i : i + len(word)].view(">u8")
     deep = min(SHALLOW, length) // 8 * 8
     if deep:
-        places, start, size = multikey_quicksort(places, word, deep)
+        ranks, start, size = multikey_quicksort(places, word, deep, near)
     else:
-        start, size = np.zeros(1, np.int64), np.array([len(places)])
+        ranks = np.argsort(near, kind="stable")
+        start, _ = runs_of(near[ranks]) if len(near) else (np.zeros(0, np.int64), None)
+        size = np.diff(start, append=len(near))
     begin = np.cumsum(size) - size
-    flat = places[np.repeat(start - begin, size) + np.arange(size.sum())]
+    rows = ranks[np.repeat(start - begin, size) + np.arange(size.sum())]
+    flat = places[rows]
     lead = np.repeat(flat[begin], size) if len(flat) else flat
     same = np.ones(len(flat), bool)
     for d in [*range(deep, length - 7, 8), *([length - 8] if length >= 8 else [])]:
@@ -443,43 +447,42 @@ def equal_suffixes(text: np.ndarray, places: np.ndarray, length: int) -> tuple[n
     if not deep and len(flat):
         same[:] = False
     whole = np.logical_and.reduceat(same, begin) if len(flat) else np.zeros(0, bool)
-    found, group = [flat[np.repeat(whole, size)]], [np.repeat(np.arange(len(size))[whole], size[whole])]
-    number, raw = len(size), text.tobytes()
+    found, group = [rows[np.repeat(whole, size)]], [np.repeat(np.arange(len(size))[whole], size[whole])]
+    number, raw = len(size), text.tobytes() if len(size) and not whole.all() else b""
     for a, n in zip(begin[~whole].tolist(), size[~whole].tolist()):
         trie = BlindTrie(length - deep)
-        for p in flat[a : a + n].tolist():
-            trie.add(raw[p + deep : p + length], p)
+        for r, p in zip(rows[a : a + n].tolist(), flat[a : a + n].tolist()):
+            trie.add(raw[p + deep : p + length], r)
         for items in trie.groups():
             if len(items) > 1:
                 found.append(np.array(items))
                 group.append(np.full(len(items), number))
                 number += 1
-    return np.concatenate(found).astype(np.int64), np.concatenate(group).astype(np.int64)
+    lone = held.copy()
+    for some in found:
+        lone[some] = False
+    lone = np.flatnonzero(lone)
+    return np.concatenate([*found, lone]).astype(np.int64), np.concatenate([*group, number + np.arange(len(lone))]).astype(np.int64)
 
 
-def covered(text: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarray, ids: np.ndarray, length: int, sort: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (where their text is, its size, the number of their class of equal texts, their document): which spans have bytes that a smaller document covers, and from
-    where to where. Each class is sorted once; the sorter tells which of its windows are equal to others, and of those of one text in several
-    documents whether they are there."""
+def covered(text: np.ndarray, at: np.ndarray, size: np.ndarray, grams: np.ndarray, number: np.ndarray, ids: np.ndarray, length: int, sort: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (where their text is, its size, the k-gram's and the text's number, their document): which spans have bytes that a smaller document
+    covers, and from where to where. Each text is sorted once, whatever the number of spans that hold it."""
+    none = np.zeros(0, np.int64)
     order = np.lexsort((ids, number))
     at, size, number, ids = (x[order] for x in (at, size, number, ids))
     first, of = runs_of(number)
     least, last = ids[first], ids[np.append(first[1:], len(ids)) - 1]
+    begin, near = at[first], grams[order][first]
     windows = size[first] - length + 1
-    spread = np.cumsum(windows) - windows
     owner = np.repeat(np.arange(len(first)), windows)
-    places = at[first][owner] + np.arange(len(owner)) - spread[owner]
-    # windows of a text that several documents hold are sorted twice over: they are found equal to themselves
-    twice = (last > least)[owner]
-    found, group = sort(text, np.concatenate((places, places[twice])), length)
+    places = (begin - np.cumsum(windows) + windows)[owner] + np.arange(len(owner))
+    found, group = sort(text, places, length, near[owner], (last > least)[owner])
     if not len(found):
-        return (np.zeros(0, np.int64),) * 3
-    index = np.argsort(places)  # no window is in two spans
-    klass = owner[index[np.searchsorted(places[index], found)]]
+        return none, none, none
+    k, p = owner[found], places[found]
     gfirst, gnumber = runs_of(group)
-    lowest = np.minimum.reduceat(least[klass], gfirst)[gnumber]
-    p, once = np.unique(found, return_index=True)
-    k, lowest = klass[once], lowest[once]
+    lowest = np.minimum.reduceat(least[k], gfirst)[gnumber]
     # the whole of what larger documents of a class hold, if all its windows were found
     complete = np.bincount(k, minlength=len(first)) == windows
     others = np.flatnonzero((ids > least[of]) & complete[of])
@@ -493,7 +496,7 @@ def covered(text: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarr
         run[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)
         a = np.flatnonzero(run)
         b = np.append(a[1:], len(k)) - 1
-        k, frm, to = k[a], p[a] - at[first][k[a]], p[b] - at[first][k[a]] + length
+        k, frm, to = k[a], p[a] - begin[k[a]], p[b] - begin[k[a]] + length
         firsts = np.flatnonzero(ids == least[of])  # sorted by class
         lo, hi = np.searchsorted(of[firsts], k), np.searchsorted(of[firsts], k, "right")
         n = hi - lo
@@ -515,7 +518,8 @@ def _compared(length: int, sort: Callable):
         begin = np.cumsum(lens) - lens
         numbers: dict[bytes, int] = {}
         number = np.array([numbers.setdefault(raw[a : a + n], len(numbers)) for a, n in zip(begin.tolist(), lens.tolist())], np.int64)
-        which, frm, to = covered(np.frombuffer(raw, np.uint8), begin, lens, number, ids, length, sort)
+        _, grams = np.unique(np.frombuffer(b"".join(rows.column("grams").to_pylist()), "<u8"), return_inverse=True)
+        which, frm, to = covered(np.frombuffer(raw, np.uint8), begin, lens, grams, number, ids, length, sort)
         return _found(0, ids[which], marks[which], starts[which] + frm, starts[which] + to)
 
     return run
@@ -561,7 +565,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, full: bool
     spans_all = total // max(1, (length - gram + 2) // 2) + 1  # a k-gram is smallest about once in half a window
     entries = step_entries(spans_all, min(LEAST_ENTRIES, MOST_ENTRIES), MOST_ENTRIES)
     buckets = max(16, -(-spans_all // entries))
-    blocks = docs.select("key", "mark", "text").mapInArrow(_blocks(buckets, entries, length, gram, sort), BLOCK)
+    blocks = docs.select("key", "mark", "text").mapInArrow(_blocks(buckets, entries, hot_from(spans_all, entries, HOT), length, gram, sort), BLOCK)
     found = saved(dealt(blocks, "bucket", buckets).groupBy("bucket").applyInArrow(_matched, FOUND), "substr-found")
     lists = lambda *names: [F.flatten(F.collect_list(c)).alias(c) for c in names]
     want = found.filter("kind = 1")

@@ -77,7 +77,7 @@ def test_deep_shallow_groups():
     for p in places.tolist():
         groups.setdefault(text[p : p + 50].tobytes(), []).append(p)
     want = sorted(v for v in groups.values() if len(v) > 1)
-    found, number = sub.equal_suffixes(text, places, 50)
+    found, number = sub.equal_suffixes(text, places, 50, np.zeros(len(places), np.int64), np.zeros(len(places), bool))
     assert (np.diff(number) >= 0).all()
     assert sorted(sorted(found[number == n].tolist()) for n in set(number.tolist())) == want
 
@@ -89,15 +89,16 @@ def test_multikey_quicksort_orders():
     raw = text.tobytes() + bytes(8)
     word = np.array([int.from_bytes(raw[i : i + 8], "big") for i in range(len(text))], np.uint64)
     places = rng.permutation(len(text) - 32)
-    got, start, size = sub.multikey_quicksort(places, word, 32)
-    keys = [raw[p : p + 32] for p in got.tolist()]
-    assert keys == sorted(keys) and len(start) > 300
+    near = (places % 2).astype(np.int64)
+    got, start, size = sub.multikey_quicksort(places, word, 32, near)
+    keys = [(p % 2, raw[p : p + 32]) for p in places[got].tolist()]
+    assert keys == sorted(keys) and len(start) > 100
     assert all(len(set(keys[a : a + n])) == 1 for a, n in zip(start.tolist(), size.tolist()))
 
 
 def test_only_the_sorter_removes(spark):
     """With a sorter that finds nothing, nothing is removed: hashes only bring texts together."""
-    none = lambda text, places, length: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64))
     df = spark.createDataFrame(corpus(5), "doc_id long, text string").repartition(3)
     assert sub.dedup(df, sort=none).agg(F.sum("n_removed")).first()[0] == 0
     assert sub.dedup(df).agg(F.sum("n_removed")).first()[0] > 1000
