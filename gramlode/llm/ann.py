@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Unit vectors get binary codes: signs after rotations learned by iterative quantization. A code is split into 8-bit substrings,
-and each substring position has an index of its own. Two codes within radius r agree, by the pigeonhole principle, within
-r // m bits on one of the m substrings at least (one bit less on all but the first r % m + 1): probing these cells of each index
-retrieves every code within the radius. Survivors of the full Hamming test are ranked by cosine on the original vectors.
+Unit vectors get binary codes: signs after rotations learned by iterative quantization. A code is split into substrings of 32 bits, and each
+substring position has an index of its own. Two codes within radius r agree, by the pigeonhole principle, within r // m bits on one of the
+m substrings at least (one bit less on all but the first r % m + 1): probing these values of each index retrieves every code within the
+radius. An index has a directory for either half of its substring, of at most 65,536 cells each, and the same principle tells which cells can
+hold a near value; only values in those cells are looked at, only rows of near values have their whole codes compared, and only rows within
+the radius are ranked by cosine on the original vectors. How many rows are probed depends on the data: few in clusters, a third or so where
+vectors lie evenly on the sphere (see the README).
 
 The radius is learned: for a bounded sample of queries the true neighbours are found by brute force over all rows, and the radius is
 the smallest that holds QUANTILE of them. One radius does not suit all: a query in a thin region may find fewer than k rows within it, or
 rows so far off that nearer ones may lie outside. So each query's k-th row tells how far the codes of nearer vectors can be (the angle's share
 of the bits, and as many deviations as the sample's neighbours show, SPREAD at least), and queries that need a wider radius are asked again with it;
-with fewer than k rows, with growing ones up to the whole code, where every row is found. Fewer than k rows come out only if there are not more. The index covers all rows, in blocks by hash of the id; each block answers all queries, in
-groups of bounded size. Equal vectors of a block are searched once; of them, the smallest k + 1 ids are kept, which no
+with fewer than k rows, with growing ones up to the whole code, where every row is found. Fewer than k rows come out only if there are not more. The index covers all rows, in blocks by hash of the id. A
+block's rows come first, then all queries stream past its index: rows are sent once, queries once to each block, and a task holds one block. Equal
+vectors of a block are searched once; of them, the smallest k + 1 ids are kept, which no
 answer can exceed.
 
 Vectors that are null, zero, hold a null or a non-finite component, or have not the commonest length, take no part; nor do rows without
@@ -25,14 +29,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import saved
+from gramlode.llm.common import bounded, saved
 
 #: Bits of a code (a multiple of 64), vectors that train and queries that calibrate (in the mean), and the share of their neighbours within the radius.
-BITS, TRAIN_ROWS, CALIBRATE, QUANTILE = 128, 8192, 128, 0.97
+BITS, TRAIN_ROWS, CALIBRATE, QUANTILE = 128, 8192, 128, 0.95
 #: Deviations above the expected Hamming distance of an angle that a query's radius covers, at least.
 SPREAD = 2.0
-#: Rows of an index block, and queries of a group.
-BLOCK_ROWS, GROUP_QUERIES = 20_000, 10_000
+#: Bits that a query's needed radius may exceed its own before it is asked again, if it has k rows.
+SLACK = 8
+#: Rows of an index block in the mean (some 1,500 bytes of a task's memory each, for 64 components), and blocks at least if there are 1,000 rows.
+BLOCK_ROWS, LEAST_BLOCKS = 50_000, 12
 
 
 def taking_part(df: DataFrame, vec: Column) -> Column:
@@ -86,34 +92,59 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
+def _ranges(starts: np.ndarray, order: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The members of some cells."""
+    size = starts[cells + 1] - starts[cells]
+    return order[np.repeat(starts[cells] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+class _Lists:
+    """Distinct values, rising, and the numbers of the rows that have each."""
+
+    def __init__(self, column: np.ndarray):
+        self.order = np.argsort(column, kind="stable")
+        ranked = column[self.order]
+        new = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(column) else np.zeros(0, np.int64)
+        self.values, self.starts = ranked[new], np.append(new, len(column))
+
+    def members(self, cells: np.ndarray) -> np.ndarray:
+        return _ranges(self.starts, self.order, cells)
+
+
+def pigeonhole(radius: int, parts: int) -> list[int]:
+    """Radii of parts, of which one at least is met by any two codes within ``radius``; below 0: the part need not be looked at."""
+    a, rest = divmod(radius, parts)
+    return [a - (t > rest) for t in range(parts)]
+
+
 class MultiIndex:
-    """Inverted lists of each 8-bit substring of the codes."""
+    """An index of each 32-bit substring of the codes: its distinct values, found by the cells of either half, and their rows."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = np.ascontiguousarray(codes)
-        self.m = codes.shape[1]
-        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(self.m)]
-        self.starts = [np.searchsorted(codes[o, t], np.arange(257)) for t, o in enumerate(self.order)]
-        values = np.arange(256, dtype=np.uint8)
-        self.apart = np.bitwise_count(values[:, None] ^ values)
-        self.lists: dict[tuple[int, int, int], np.ndarray] = {}
-
-    def _near(self, t: int, value: int, radius: int) -> np.ndarray:
-        key = (t, value, radius)
-        if key not in self.lists:
-            s = self.starts[t]
-            cells = np.flatnonzero(self.apart[value] <= radius)
-            self.lists[key] = np.concatenate([self.order[t][s[c] : s[c + 1]] for c in cells])
-        return self.lists[key]
+        words = self.codes.view(np.uint32)
+        self.lists = [_Lists(words[:, t]) for t in range(words.shape[1])]
+        self.halves = [[_Lists((x.values >> np.uint32(s) & np.uint32(0xFFFF)).astype(np.uint16)) for s in (0, 16)] for x in self.lists]
+        self.probed = 0
+
+    def _near(self, t: int, value: np.uint32, radius: int) -> np.ndarray:
+        """Numbers of the values at most ``radius`` bits away."""
+        found = []
+        for half, r, part in zip(self.halves[t], pigeonhole(radius, 2), (value & np.uint32(0xFFFF), value >> np.uint32(16))):
+            if r >= 0:
+                found.append(half.members(np.flatnonzero(np.bitwise_count(half.values ^ np.uint16(part)) <= r)))
+        some = np.concatenate(found)
+        return some[np.bitwise_count(self.lists[t].values[some] ^ value) <= radius]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is at most ``radius`` bits away."""
-        a, rest = divmod(radius, self.m)
+        """Every row whose code is at most ``radius`` bits away, in order."""
+        words = np.ascontiguousarray(code).view(np.uint32)
         hit = np.zeros(len(self.codes), bool)
-        for t in range(self.m):
-            if a - (t > rest) >= 0:
-                hit[self._near(t, int(code[t]), a - (t > rest))] = True
+        for t, r in enumerate(pigeonhole(radius, len(self.lists))):
+            if r >= 0:
+                hit[self.lists[t].members(self._near(t, words[t], r))] = True
         found = np.flatnonzero(hit)
+        self.probed += len(found)
         return found[hamming(self.codes[found], code[None, :]) <= radius]
 
 
@@ -147,52 +178,74 @@ def _expected(score, bits: int):
     return bits * p, np.sqrt(bits * p * (1 - p) + 1)
 
 
-def _block_search(rotations, k: int):
-    """Each query within its radius; below 0: brute force."""
+class Block:
+    """The index of a block's rows."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rotations: np.ndarray, k: int):
+        self.x, self.members = _classes(*_distinct(ids, x))
+        self.rotations, self.k = rotations, k
+        self.codes = codes_of(self.x, rotations)
+        self.index = MultiIndex(self.codes)
+
+    def answer(self, asker: int, vec: np.ndarray, radius: int) -> list[tuple]:
+        """(query_id, vec_id, score, away) of the nearest k rows within the radius, but the asker's own; below 0: brute force."""
+        code, k = codes_of(vec[None, :], self.rotations)[0], self.k
+        found = self.index.within(code, radius) if radius >= 0 else np.arange(len(self.x))
+        if not len(found):
+            return []
+        score = cosines(self.x[found], vec)
+        if len(found) > k + 1:  # ties with the (k + 1)-th stay
+            enough = score >= np.partition(score, -(k + 1))[-(k + 1)]
+            found, score = found[enough], score[enough]
+        away = hamming(self.codes[found], code[None, :])
+        some = sorted((-s, int(i), int(a)) for s, f, a in zip(score.tolist(), found, away) for i in self.members[f][: k + 1] if i != asker)
+        return [(asker, i, -s, a) for s, i, a in some[:k]]
+
 
-    def run(rows, queries):
+def _search_blocks(rotations, k: int):
+    """Rows sorted by block: of each, its vectors (asks false), then its queries."""
+
+    def run(batches):
         import pyarrow as pa
 
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("away", pa.int32())])
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        ids, x = _distinct(rows.column("vec_id").to_numpy(), _matrix(rows.column("v")))
-        qids, q = _distinct(queries.column("vec_id").to_numpy(), _matrix(queries.column("v")))
-        x, members = _classes(ids, x)
-        radii = dict(zip(queries.column("vec_id").to_pylist(), queries.column("radius").to_pylist()))
-        q, askers = _classes(qids, q)
-        r = rotations.value
-        codes, qcodes = codes_of(x, r), codes_of(q, r)
-        index = MultiIndex(codes)
-        out: list[list] = [[], [], [], []]
-        for vec, code, who in zip(q, qcodes, askers):
-            radius = max(radii[i] for i in who.tolist())
-            found = index.within(code, radius) if radius >= 0 else np.arange(len(x))
-            if not len(found):
-                continue
-            score = cosines(x[found], vec)
-            if len(found) > k + 1:  # ties with the (k + 1)-th stay
-                enough = score >= np.partition(score, -(k + 1))[-(k + 1)]
-                found, score = found[enough], score[enough]
-            away = hamming(codes[found], code[None, :])
-            some = sorted((-s, int(i), int(a)) for s, f, a in zip(score.tolist(), found, away) for i in members[f][: k + 1])[: k + 1]
-            for asker in who.tolist():
-                for s, i, a in [y for y in some if y[1] != asker][:k]:
-                    for column, value in zip(out, (asker, i, -s, a)):
-                        column.append(value)
-        return pa.table(out, schema=schema)
+        at, ids, vecs, block = None, [], [], None
+        for batch in batches:
+            numbers, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in _stretches(numbers, asks):
+                some = batch.slice(a, b - a)
+                if numbers[a] != at:
+                    at, ids, vecs, block = numbers[a], [], [], None
+                if not asks[a]:
+                    ids.append(some.column(2).to_numpy())
+                    vecs.append(_matrix(some.column(3)))
+                    continue
+                if block is None and ids:
+                    block = Block(np.concatenate(ids), np.concatenate(vecs), rotations.value, k)
+                    ids, vecs = [], []
+                if block is not None:
+                    out = [x for i, v, r in zip(some.column(2).to_pylist(), _matrix(some.column(3)), some.column(4).to_pylist()) for x in block.answer(i, v, r)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def _answers(vecs: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, rotations, k: int) -> DataFrame:
+def _stretches(numbers: np.ndarray, asks: np.ndarray):
+    """Of sorted rows: from where to where block and kind stay the same."""
+    if len(numbers):
+        new = np.flatnonzero((numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])) + 1
+        yield from zip([0, *new.tolist()], [*new.tolist(), len(numbers)])
+
+
+def _answers(vecs: DataFrame, queries: DataFrame, n_rows: int, rotations, k: int) -> DataFrame:
     """``queries`` have a radius each."""
-    blocks = max(1, -(-n_rows // BLOCK_ROWS), 4 if n_rows > 1000 else 1)
-    groups = max(1, -(-n_queries // GROUP_QUERIES))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    rows = vecs.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("group", numbers(groups))
-    asked = queries.withColumn("group", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(groups))).withColumn("block", numbers(blocks))
-    found = rows.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(_block_search(rotations, k), "query_id long, vec_id long, score double, away int")
+    blocks = max(-(-n_rows // BLOCK_ROWS), LEAST_BLOCKS if n_rows > 1000 else 1)
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    rows = vecs.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long").alias("block"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(0).alias("radius"))
+    asked = queries.select(numbers.alias("block"), F.lit(True).alias("asks"), "vec_id", "v", F.col("radius").cast("int").alias("radius"))
+    sent = rows.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks", "vec_id")
+    found = sent.mapInArrow(_search_blocks(rotations, k), "query_id long, vec_id long, score double, away int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -204,15 +257,16 @@ def _asked_again(asked: DataFrame, found: DataFrame, spread: float, k: int, bits
     needed = F.floor(bits * p + spread * F.sqrt(bits * p * (1 - p) + 1)).cast("int")
     wider = F.greatest(2 * F.col("radius"), F.col("radius") + bits // 8)
     joined = asked.join(last.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").filter(F.col("radius") < bits)
-    to = F.least(F.lit(bits), F.when(F.coalesce("found", F.lit(0)) < k, wider).otherwise(needed)).cast("int")
+    enough = F.when(needed > F.col("radius") + SLACK, needed).otherwise(F.col("radius"))
+    to = F.least(F.lit(bits), F.when(F.coalesce("found", F.lit(0)) < k, wider).otherwise(enough)).cast("int")
     return joined.withColumn("to", to).filter(F.col("to") > F.col("radius")).select("vec_id", "v", F.col("to").alias("radius"))
 
 
 def search(df: DataFrame, *, k: int = 5, every: int = 50, bits: int = BITS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is divisible by ``every``, the ``k`` nearest others."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     vecs = saved(vectors(df, id_col, vec_col), "ann-vectors")
-    queries = saved(vecs.filter(F.col("vec_id") % every == 0), "ann-queries")  # a table of its own: cogroup mixes up the columns of a self-join
+    queries = saved(vecs.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-queries")
     n = vecs.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -220,7 +274,7 @@ def search(df: DataFrame, *, k: int = 5, every: int = 50, bits: int = BITS, id_c
     sample = _some(vecs, TRAIN_ROWS, n, 1).orderBy("vec_id").collect() or vecs.limit(1).collect()
     rotations = spark.sparkContext.broadcast(learn_rotations(np.array([r.v for r in sample]), bits))
     few = saved(_some(queries, CALIBRATE, asked, 5).withColumn("radius", F.lit(-1)), "ann-calibration")
-    true = _answers(vecs, few, n, CALIBRATE, rotations, k).select("score", "away").collect()
+    true = _answers(vecs, few, n, rotations, k).select("score", "away").collect()
     away, score = np.array([r.away for r in true]), np.array([r.score for r in true])
     radius, spread = bits, SPREAD
     if true:
@@ -231,7 +285,7 @@ def search(df: DataFrame, *, k: int = 5, every: int = 50, bits: int = BITS, id_c
     columns = ("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     done = []
     while asked:
-        found = saved(_answers(vecs, queries, n, asked, rotations, k).select(*columns), "ann-found")
+        found = saved(_answers(vecs, queries, n, rotations, k).select(*columns), "ann-found")
         again = saved(_asked_again(queries, found, spread, k, bits), "ann-queries")
         asked = again.count()
         done.append(found.join(again.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti") if asked else found)

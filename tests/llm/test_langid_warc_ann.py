@@ -149,3 +149,39 @@ def test_ann_answers_outliers_among_dense_groups(spark):
     assert got.keys() == want.keys() and all(sorted(r for r, _ in v) == [1, 2, 3, 4, 5] for v in got.values())
     hits = [len({j for _, j in want[q]} & {j for _, j in got[q]}) / 5 for q in want if alone[q]]
     assert len(hits) == 10 and np.mean(hits) >= 0.9
+
+
+def test_index_leaves_rows_out():
+    """Clustered vectors: few rows are probed at a radius that holds 95 % of the true neighbours."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((200, 64))
+    x = centres[rng.integers(0, 200, 20_000)] + 0.25 * rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = ann.learn_rotations(x[:4096])
+    codes = ann.codes_of(x, r)
+    ask = range(0, 20_000, 200)
+    away = []
+    for q in ask:
+        near = np.argsort(-(x @ x[q]))
+        away += ann.hamming(codes[near[near != q][:5]], codes[q][None, :]).tolist()
+    radius = int(np.quantile(away, 0.95, method="higher"))
+    index = ann.MultiIndex(codes)
+    for q in ask:
+        index.within(codes[q], radius)
+    assert index.probed / (len(ask) * len(x)) < 0.1
+
+
+def test_recall_of_the_tables_vectors(spark):
+    import os
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    df = spark.read.parquet(f"{d}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in ann.vectors(df).select("vec_id", F.col("v").alias("embedding")).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {q: set(ids[sorted(np.flatnonzero(ids != q), key=lambda j: (-float(x[j] @ v), ids[j]))[:5]].tolist()) for q, v in zip(ids.tolist(), x) if q % 50 == 0}
+    got = ann.search(df).collect()
+    assert len(got) == 5 * len(want)
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * len(got)
