@@ -5,10 +5,11 @@ are looked at in windows that overlap by half. A paragraph's window counts only
 states; its line is that of its first marker. Units that hold a marker word
 (licence, copyright, the licences' own names) become sparse binary features: word n-grams of 1 to 3 words, hashed into BUCKETS cells.
 Softmax regression gives each family, and the class ``unknown``, a probability; a temperature and a threshold are calibrated on
-held-out examples. A prediction counts as found only if the unit holds at least CONFIRM of the word pairs and triples of one of the
-family's templates; otherwise it is unconfirmed and the unit counts as unknown. Units without a marker have no licence.
+held-out examples, the threshold so that PRECISION of the confirmed predictions are right. Then the family's templates confirm the prediction: the unit must hold one of the family's names as it stands, or at least
+CONFIRM of the word pairs and triples of one of its longer notices; what is not confirmed counts as unknown. Units without a marker have no licence.
 
-The model is trained on synthetic examples made from the templates (EXAMPLES of each, a fixed number) through the same expressions, once in a
+The model is trained on synthetic examples (EXAMPLES of each family, a fixed number): names in sentence frames, and notices whole, cut and with words
+lost, among made-up words; unknown ones name other licences or use the same words otherwise. They go through the same expressions as texts, once in a
 session. A null text is empty and holds no licence. Every row is treated alone, so repeated rows give equal results; an empty table gives an
 empty one; extra columns are left aside.
 """
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, WINDOW, CONFIRM, EXAMPLES, PRECISION = 1 << 13, 60, 0.6, 120, 0.995
+BUCKETS, WINDOW, CONFIRM, EXAMPLES, PRECISION = 1 << 13, 60, 0.6, 200, 0.995
 UNKNOWN = "unknown"
 #: Words of which a unit must hold one. Fixed values.
 MARKERS = ("license", "licensed", "licence", "licenced", "licenses", "copyright", "warranty", "redistribution", "redistribute", "permission", "spdx-license-identifier", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "mpl", "cc", "cc0", "apache", "creative", "mozilla", "bsd", "unlicense", "unencumbered", "isc", "mit")
@@ -43,8 +44,46 @@ TEMPLATES = {
     "ISC": ("released under the isc license", "spdx-license-identifier isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     "Unlicense": ("this is free and unencumbered software released into the public domain", "spdx-license-identifier unlicense"),
 }
+#: Names of the families, as words stand in a text. Fixed values.
+NAMES = {
+    "MIT": ("mit", "mit x11", "mit expat"),
+    "Apache-2.0": ("apache 2.0", "apache-2.0", "apache v2", "apache license 2.0", "apache license version 2.0", "apache software license 2.0", "apache version 2.0"),
+    "GPL-3.0": ("gpl v3", "gplv3", "gpl-3.0", "gpl 3.0", "gpl 3", "gpl version 3", "gnu gpl v3", "gnu gplv3", "gpl-3.0-only", "gpl-3.0-or-later", "gnu general public license v3", "gnu general public license version 3", "gnu general public license v3.0"),
+    "GPL-2.0": ("gpl v2", "gplv2", "gpl-2.0", "gpl 2.0", "gpl 2", "gpl version 2", "gnu gpl v2", "gnu gplv2", "gpl-2.0-only", "gpl-2.0-or-later", "gnu general public license v2", "gnu general public license version 2", "gnu general public license v2.0"),
+    "LGPL": ("lgpl", "gnu lgpl", "lgpl v3", "lgplv3", "lgpl-3.0", "lgpl v2.1", "lgplv2.1", "lgpl-2.1", "gnu lesser general public license"),
+    "AGPL-3.0": ("agpl", "gnu agpl", "agpl v3", "agplv3", "agpl-3.0", "gnu affero general public license"),
+    "BSD": ("bsd", "bsd 3-clause", "bsd 2-clause", "3-clause bsd", "2-clause bsd", "new bsd", "simplified bsd", "modified bsd", "bsd-3-clause", "bsd-2-clause"),
+    "MPL-2.0": ("mpl 2.0", "mpl-2.0", "mplv2", "mozilla public license", "mozilla public license 2.0", "mozilla public license version 2.0"),
+    "CC-BY-4.0": ("cc by 4.0", "cc-by-4.0", "cc-by 4.0", "creative commons attribution 4.0", "creative commons by 4.0"),
+    "CC-BY-SA-4.0": ("cc by-sa 4.0", "cc-by-sa-4.0", "cc-by-sa 4.0", "creative commons attribution-sharealike 4.0", "creative commons by-sa 4.0"),
+    "CC-BY-NC-4.0": ("cc by-nc 4.0", "cc-by-nc-4.0", "cc-by-nc 4.0", "creative commons attribution-noncommercial 4.0", "creative commons by-nc 4.0"),
+    "CC0-1.0": ("cc0", "cc0 1.0", "cc0-1.0", "creative commons zero"),
+    "ISC": ("isc",),
+    "Unlicense": ("unlicense", "the unlicense"),
+}
+#: Names of licences of no family here. Fixed values.
+FOREIGN = ("acme", "proprietary", "commercial", "epl", "epl-2.0", "eclipse public", "artistic", "zlib", "python", "oracle", "sspl", "elastic", "boost", "wtfpl", "gfdl", "ruby", "open", "free", "closed", "shareware", "academic", "trial", "enterprise", "custom")
+#: Sentences that state a licence; @ is its name. Fixed values.
+FRAMES = ("this project is licensed under the @ license", "this software is released under the @ license", "the code is available under @", "licensed under the terms of the @ license", "license @", "licence @", "@ license", "@ licence", "the library is @ licensed", "published under the @ license see license for details", "covered by the @ licence", "you can use it under the @ license", "subject to the @ license", "the files are under @", "its license is @", "spdx-license-identifier @", "dual licensed @", "all examples are licensed @", "made available under the @ license")
+#: Words that a notice must hold to be a family's, where another family's is the same but for them. Fixed values.
+TELLING = {"GPL-3.0": "version 3", "GPL-2.0": "version 2"}
+#: Places of a name that is none but a licence's. Fixed values.
+BARE = ("@", "it is @", "code @", "@ applies here", "the parts are @ and others not", "we use @ for all of it", "rights @")
+#: Standard notices of the families, longer than a line. Fixed values.
+NOTICES = {
+    "MIT": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    "Apache-2.0": ("licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    "GPL-3.0": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "GPL-2.0": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "LGPL": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",),
+    "AGPL-3.0": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license",),
+    "BSD": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    "MPL-2.0": ("if a copy of the mpl was not distributed with this file you can obtain one at",),
+    "ISC": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
+    "Unlicense": ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means",),
+}
 #: Uses of marker words that state no licence. Fixed values.
-OTHER = ("she lost her driver license near the station", "the licence fee rose again this year", "he asked for permission to leave the room", "the warranty of the machine ends in june", "fahrt mit dem zug nach berlin", "copyright law is taught here", "an apache helicopter landed", "creative people like cc and bcc lines", "mit der zeit wird es besser", "a fishing license costs ten dollars", "we may redistribute the seats", "the license plate was blue", "permission is needed for trips", "under the terms of the treaty", "released under the old name", "version 2.0 of the game", "read the license before you sign", "licensed taxi drivers only", "mozilla firefox opened the page")
+OTHER = ("she lost her driver license near the station", "the licence fee rose again this year", "he asked for permission to leave the room", "the warranty of the machine ends in june", "fahrt mit dem zug nach berlin", "copyright law is taught here", "an apache helicopter landed", "creative people like cc and bcc lines", "mit der zeit wird es besser", "a fishing license costs ten dollars", "we may redistribute the seats", "the license plate was blue", "the driver showed the license", "no license is needed here", "the license expired in may", "a license fee of 3.0 percent", "version 3 of the report", "version 2 of the plan", "either version 2 or version 3", "public license office", "general public opening hours", "the general public may enter", "the mit students spoke", "bsd is a short word", "the gpl was discussed in court", "isc meets on friday", "the permission was granted free of charge", "he published the notice", "the above notice is old", "warranty without limits", "permission is needed for trips", "under the terms of the treaty", "released under the old name", "version 2.0 of the game", "read the license before you sign", "licensed taxi drivers only", "mozilla firefox opened the page")
 FAMILIES = (UNKNOWN, *TEMPLATES)
 
 
@@ -59,6 +98,12 @@ def words(line: Column) -> Column:
     return F.filter(F.transform(raw, lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "")), lambda w: w != "")
 
 
+def _marks() -> Column:
+    """Words of which a unit must hold one: markers, and names of one word."""
+    alone = {e for f in NAMES for e in evidence(f) if " " not in e}
+    return F.split(F.lit(",".join(sorted({*MARKERS, *alone}))), ",")
+
+
 def grams(tokens: Column, sizes: tuple[int, ...]) -> Column:
     n = F.size(tokens)
     parts = []
@@ -85,7 +130,7 @@ def units(text: Column) -> Column:
             return F.transform(F.sequence(F.lit(0), many), lambda k: F.struct(number.alias("line"), F.slice(tokens, k * half + 1, F.lit(WINDOW)).alias("tokens")))
 
         none = F.array().cast("array<struct<line:int,tokens:array<string>>>")
-        return F.when(F.rlike(line, F.lit(MAY)), F.filter(let(words(line), cut), lambda u: F.arrays_overlap(u["tokens"], F.array(*map(F.lit, MARKERS))))).otherwise(none)
+        return F.when(F.rlike(line, F.lit(MAY)), F.filter(let(words(line), cut), lambda u: F.arrays_overlap(u["tokens"], _marks()))).otherwise(none)
 
     return F.flatten(F.transform(F.split(text, "\n", -1), of_line))
 
@@ -95,11 +140,32 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, r"\n(?=[^\S\n]*(?:\n|$))", -1)
 
 
+def evidence(family: str) -> list[str]:
+    """What names a family beyond doubt once the model says so: its names as they stand, with the word licence where they are common words, as word runs of up to three."""
+    out = set()
+    for name in NAMES[family]:
+        w = name.split()
+        if name in ("mit", "bsd", "isc", "mit x11", "mit expat", "new bsd", "simplified bsd", "modified bsd"):
+            forms = [f"{name} {x}" for x in ("license", "licence", "licensed", "licenced", "licenses")] + [f"{x} {name}" for x in ("license", "licence", "licensed", "spdx-license-identifier")] + [f"under {name}", f"the {name} terms"]
+        else:
+            forms = [name]
+        for f in forms:
+            t = f.split()
+            if len(t) <= 3:
+                out.add(" ".join(t))
+    return sorted(out)
+
+
+def compound(family: str) -> list[tuple[str, str]]:
+    """Names of more than three words: the first and the last three of them, both of which must be there."""
+    return sorted({(" ".join(t[:3]), " ".join(t[-3:])) for t in map(str.split, NAMES[family]) if len(t) > 3})
+
+
 def wrapped(parts: Column) -> Column:
     """array<struct<part, line, first, last, tokens>> of the windows of paragraphs that span lines and hold a marker and a word pair of a
-    template, without which none can be confirmed; lines count from the paragraph's first."""
-    marks = F.array(*map(F.lit, MARKERS))
-    pairs = F.split(F.lit(",".join(sorted({g for ts in TEMPLATES.values() for t in ts for g in _shingles(t) if g.count(" ") == 1}))), ",")
+    notice or the beginning of a name, without which none can be confirmed; lines count from the paragraph's first."""
+    marks = _marks()
+    pairs = F.split(F.lit(",".join(sorted({g for f in TEMPLATES for t in _notices(f) for g in _shingles(t) if g.count(" ") == 1} | {" ".join(e.split()[:2]) for f in TEMPLATES for e in (*evidence(f), *(a for a, _ in compound(f)))}))), ",")
 
     def of_part(part: Column, number: Column) -> Column:
         def cut(tokens: Column) -> Column:
@@ -114,7 +180,7 @@ def wrapped(parts: Column) -> Column:
                 return let(F.slice(tokens, k * half + 1, F.lit(WINDOW)), shaped)
 
             spans = F.transform(F.sequence(F.lit(0), many), window)
-            return F.filter(spans, lambda u: u["line"].isNotNull() & (u["first"] < u["last"]) & F.arrays_overlap(grams(u["tokens"], (2,)), pairs))
+            return F.filter(spans, lambda u: u["line"].isNotNull() & (u["first"] < u["last"]) & F.arrays_overlap(grams(u["tokens"], (1, 2)), pairs))
 
         lines = F.split(part, "\n", -1)
         tokens = F.flatten(F.transform(lines, lambda x, i: F.transform(words(x), lambda w: F.struct(w.alias("w"), i.alias("i")))))
@@ -145,27 +211,41 @@ def examples(seed: int = 31) -> list[tuple[str, int]]:
     rng = random.Random(seed)
     out = []
     for number, family in enumerate(FAMILIES):
-        for i in range(EXAMPLES if number else EXAMPLES * 8):
-            if number:
-                text = TEMPLATES[family][i % len(TEMPLATES[family])]
-            elif i % 3 == 0:  # a template with its telling words gone
+        for i in range(EXAMPLES if number else EXAMPLES * 6):
+            if number and i % 2:
+                name = rng.choice(NAMES[family])
+                bare = name in evidence(family) and rng.random() < 0.5  # says it without a sentence
+                text = rng.choice(BARE if bare else FRAMES).replace("@", name)
+            elif number:
+                told = _notices(family)
+                text = told[i // 2 % len(told)]
+                if len(text.split()) > 12:  # notices are cut by windows, and vary
+                    w = [x for x in text.split() if rng.random() < 0.97]
+                    text = " ".join(w[: rng.choice((len(w), len(w), 2 * len(w) // 3))])
+            elif i % 4 == 0:
+                text = rng.choice(FRAMES).replace("@", rng.choice((rng.choice(FOREIGN), _soup(rng, 1))))
+            elif i % 4 == 1:  # a statement with its telling words gone
                 text = " ".join([w for w in "this work is released licensed under the terms of the public license version".split() if rng.random() < 0.6] + ["license"])
-            elif i % 3 == 1:
+            elif i % 4 == 2:
                 text = rng.choice(OTHER)
             else:
-                text = f"{_soup(rng, 3)} {rng.choice(MARKERS)} {_soup(rng, 3)}"
+                text = f"{_soup(rng, 3)} {rng.choice([m for m in MARKERS if not any(m in evidence(f) for f in NAMES)])} {_soup(rng, 3)}"
             text = rng.choice((text, text.capitalize(), text.upper(), text.title()))
             before, after = rng.choice((0, 0, 4, 14)), rng.choice((0, 0, 4, 14))
             out.append((f"{_soup(rng, before)} {text}{rng.choice(('.', '', ',', ' -'))} {_soup(rng, after)}".strip(), number))
     return out
 
 
-def fit(features: list[list[int]], y: np.ndarray, classes: int, rounds: int = 500, decay: float = 1e-5, pace: float = 20.0) -> np.ndarray:
-    """Softmax regression by gradient steps with momentum, over sparse binary rows, classes weighted alike; the last row holds the biases."""
-    used = np.unique(np.concatenate([np.asarray(f, int) for f in features]))
+def fit(features: list[list[int]], y: np.ndarray, classes: int, rounds: int = 200, decay: float = 1e-5, pace: float = 20.0) -> np.ndarray:
+    """Softmax regression by gradient steps with momentum, over sparse binary rows, classes weighted alike; the last row holds the biases.
+    Cells of fewer than 3 examples get no weight."""
+    used = np.flatnonzero(np.bincount(np.concatenate([np.asarray(f, int) for f in features]), minlength=BUCKETS) >= 3)
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
     x = np.zeros((len(features), len(used) + 1), np.float32)
     for i, f in enumerate(features):
-        x[i, np.searchsorted(used, np.asarray(f, int))] = 1 / max(1, len(f)) ** 0.5
+        at = place[np.asarray(f, int)]
+        x[i, at[at >= 0]] = 1 / max(1, len(f)) ** 0.5
     x[:, -1] = 1
     share = (1 / np.bincount(y, minlength=classes).clip(1))[y][:, None] / classes
     w, v = np.zeros((x.shape[1], classes), np.float32), np.zeros((x.shape[1], classes), np.float32)
@@ -185,6 +265,14 @@ def logits(w: np.ndarray, features: list[list[int]]) -> np.ndarray:
     return np.array([w[np.asarray(f, int)].sum(0) / max(1, len(f)) ** 0.5 + w[-1] for f in features])
 
 
+def _likeness(tokens: list[str], family: str) -> float:
+    """What scan() compares with the templates, for calibration."""
+    have = {" ".join(tokens[i : i + k]) for k in (1, 2, 3) for i in range(len(tokens) - k + 1)}
+    if have & set(evidence(family)) or any(have >= set(c) for c in compound(family)):
+        return 1.0
+    return (TELLING.get(family, tokens[0]) in have) * max(len(have & set(_shingles(t))) / len(_shingles(t)) for t in _notices(family))
+
+
 _trained: dict[str, tuple[np.ndarray, float, float]] = {}
 
 
@@ -194,7 +282,7 @@ def model(spark: SparkSession) -> tuple[np.ndarray, float, float]:
     if key not in _trained:
         labelled = examples()
         df = spark.range(1).select(F.posexplode(F.split(F.lit("\x1e".join(t for t, _ in labelled)), "\x1e")).alias("i", "text"))
-        rows = df.select("i", F.explode(units(F.col("text"))).alias("u")).select("i", cells(F.col("u.tokens")).alias("f")).orderBy("i").collect()
+        rows = df.select("i", F.explode(units(F.col("text"))).alias("u")).select("i", "u.tokens", cells(F.col("u.tokens")).alias("f")).orderBy("i").collect()
         y = np.array([labelled[r.i][1] for r in rows])
         x = [list(r.f) for r in rows]
         train = [i for i, r in enumerate(rows) if r.i % 7 > 1]  # 7 parts no number of templates evenly
@@ -211,8 +299,9 @@ def model(spark: SparkSession) -> tuple[np.ndarray, float, float]:
         s = np.exp(z / heat - (z / heat).max(1, keepdims=True))
         p = s / s.sum(1, keepdims=True)
         best, sure = p.argmax(1), p.max(1)
-        cuts = np.unique(sure[best > 0])
-        good = [float(c) for c in cuts if (best == goal)[(best > 0) & (sure >= c)].mean() >= PRECISION]
+        told = np.array([b > 0 and _likeness(rows[i].tokens, FAMILIES[b]) >= CONFIRM for i, b in zip(held, best)])
+        cuts = np.unique(sure[told])
+        good = [float(c) for c in cuts if c >= 0.5 and (best == goal)[told & (sure >= c)].mean() >= PRECISION]
         _trained[key] = w, float(heat), min(good, default=1.0)
     return _trained[key]
 
@@ -220,6 +309,10 @@ def model(spark: SparkSession) -> tuple[np.ndarray, float, float]:
 # ---- scan
 
 
+def _notices(family: str) -> tuple[str, ...]:
+    return TEMPLATES[family] + NOTICES.get(family, ())
+
+
 def _shingles(template: str) -> list[str]:
     t = template.split()
     return sorted({" ".join(t[i : i + k]) for k in (2, 3) for i in range(len(t) - k + 1)})
@@ -248,12 +341,14 @@ def scan(docs: DataFrame, trained=None) -> DataFrame:
             def like(g: Column) -> Column:
                 shares = []
                 for family in FAMILIES[1:]:
-                    each = [F.size(F.array_intersect(g, F.split(F.lit(",".join(_shingles(t))), ","))) / F.lit(float(len(_shingles(t)))) for t in TEMPLATES[family]]
-                    shares.append(reduce(F.greatest, each) if len(each) > 1 else each[0])
+                    named = reduce(lambda c, ab: c | (F.array_contains(g, ab[0]) & F.array_contains(g, ab[1])), compound(family), F.arrays_overlap(g, F.split(F.lit(",".join(evidence(family))), ",")))
+                    each = [F.size(F.array_intersect(g, F.split(F.lit(",".join(_shingles(t))), ","))) / F.lit(float(len(_shingles(t)))) for t in _notices(family)]
+                    share = reduce(F.greatest, each) if len(each) > 1 else each[0]
+                    shares.append(F.when(named, 1.0).otherwise(F.when(F.array_contains(g, TELLING[family]), share).otherwise(0.0) if family in TELLING else share))
                 return reduce(lambda c, kv: F.when(s["best"] == kv[0], kv[1]).otherwise(c), enumerate(shares, 1), F.lit(0.0))
 
             sure = (s["best"] > 0) & (s["probability"] >= limit)
-            likeness = F.when(sure, let(grams(u["tokens"], (2, 3)), like)).otherwise(F.lit(0.0))
+            likeness = F.when(sure, let(grams(u["tokens"], (1, 2, 3)), like)).otherwise(F.lit(0.0))
             name = F.element_at(F.array(*map(F.lit, FAMILIES)), s["best"] + 1)
             return let(likeness, lambda v: F.struct(u["part"].alias("part"), u["line"].alias("line"), u["first"].alias("first"), u["last"].alias("last"), F.when(v >= CONFIRM, name).otherwise(UNKNOWN).alias("family"), s["probability"].alias("probability"), v.alias("likeness")))
 

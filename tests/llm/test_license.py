@@ -68,3 +68,28 @@ def test_notices_wrapped_over_lines(spark, mark):
     assert {k: got[k].licenses for k in WRAPPED} == {k: k for k in WRAPPED}
     assert all(3 <= int(x) <= 6 for k in WRAPPED for x in got[k].lines.split(","))
     assert got["both"].licenses == "Apache-2.0,ISC,MIT" and got["both"].lines == "0,1,3"
+
+
+#: Statements made by hand, in sentences that the trainer does not have.
+STATED = [
+    ("This package is distributed under the MIT licence, see the file COPYING.", "MIT"), ("This library is provided under the GNU GPL v3 license.", "GPL-3.0"),
+    ("The code is MIT licensed.", "MIT"), ("License: BSD 3-Clause", "BSD"), ("License: Apache 2.0", "Apache-2.0"), ("We ship it under MPL-2.0 terms.", "MPL-2.0"),
+    ("Rights: you may copy it as the Unlicense permits", "Unlicense"), ("Freely usable, ISC licensed", "ISC"),
+    ("Contributions fall under the Apache License, Version 2.0, like the rest.", "Apache-2.0"), ("Everything in this folder is (c) 2019 and GPLv2.", "GPL-2.0"),
+    ("Text and images may be shared under Creative Commons Attribution 4.0 International.", "CC-BY-4.0"), ("Data set: CC BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("Do not sell: CC BY-NC 4.0 applies to all photos", "CC-BY-NC-4.0"), ("To the extent possible the author waives all rights under CC0 1.0", "CC0-1.0"),
+    ("The server part is AGPL-3.0 and must be shared", "AGPL-3.0"), ("Linking is fine, the library is LGPL", "LGPL"), ("Redistribute it under the 2-clause BSD license or not at all", "BSD"),
+    ("If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.", "BSD"),
+    ("Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans. Its license says so.", "Unlicense"),
+]
+UNSTATED = ["She lost her driver license near the station", "All rights reserved. Commercial license only.", "This is under the Eclipse Public License 2.0", "the general public may enter with a license, version 3", "Mit der Lizenz darf er fahren, license plates inbegriffen", "A license to print money, said the MIT professor", "Permission was granted, free of charge, to enter", "The warranty is void if the seal is broken", "Apache tribes lived here; version 2.0 of the map", "Our terms: proprietary licence, version 3", "The gpl was discussed", "Licensed electricians only"]
+
+
+def test_recall_and_precision_on_statements_not_made_by_the_trainer(spark):
+    rows = [(i, "Some words first.\n\n" + t + "\n\nMore words.") for i, t in enumerate([t for t, _ in STATED] + UNSTATED)]
+    got = {r.doc_id: r.licenses for r in lic.digest(lic.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    right = [got[i] == f for i, (_, f) in enumerate(STATED)]
+    found = [got[i] for i in got if got[i]]
+    assert sum(right) >= 0.9 * len(STATED), [(t, got[i]) for i, (t, f) in enumerate(STATED) if got[i] != f]
+    assert sum(right) >= 0.95 * len(found), [(rows[i][1], got[i]) for i in got if got[i]]
