@@ -87,14 +87,18 @@ def do_index(args) -> int:
     return 0
 
 
+def context_lines(context: int, before: int | None, after: int | None) -> tuple[int, int]:
+    """Lines before and after: either side's own flag goes before the common one."""
+    return (context if before is None else before), (context if after is None else after)
+
+
 def do_search(args) -> int:
     parse(args.pattern)
     if args.explain:
         print(gp.explain(gp.plan_of(args.pattern, args.ignore_case)))
         return 0
     spark, began = session(), time.time()
-    before = args.before_context if args.before_context is not None else args.context
-    after = args.after_context if args.after_context is not None else args.context
+    before, after = context_lines(args.context, args.before_context, args.after_context)
     flags = {"ignore_case": args.ignore_case, "path_filter": args.file, "files_only": args.files_only, "before": before, "after": after, "limit": args.max_count}
     if args.no_index:
         root = co.project_root(".")
@@ -112,8 +116,9 @@ def do_search(args) -> int:
             if how != "fresh":
                 print(f"index updated: {how}", file=sys.stderr)
         corpus = co.directory_corpus(spark, root, index.meta["max_file_size"])
-        matches = se.search(index, corpus, args.pattern, **flags)
-        (mode, searched), total = se.mode(index, args.pattern, args.ignore_case, args.file), index.file_count
+        choice = se.chosen(index, args.pattern, ignore_case=args.ignore_case, path_filter=args.file)
+        matches = se.search(index, corpus, args.pattern, choice=choice, **flags)
+        mode, searched, total = choice.mode, choice.candidates, index.file_count
     matches = matches.cache()
     summary = se.summary(matches, searched, total, mode)
     found = summary.first()

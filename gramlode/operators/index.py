@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramlode.functions.grams import extract
+from gramlode.sources import corpus as co
 from gramlode.sources import storage
 from gramlode.sources.corpus import MAX_FILE_SIZE, status
 
@@ -29,9 +30,9 @@ FOLDER_BYTES, MOST_FOLDER_BITS = 64 << 20, 8
 FILES = "file_id long, path string, size long, mtime_ns long, status string"
 
 
-def postings_of(corpus: DataFrame) -> DataFrame:
+def postings_of(corpus: DataFrame | co.Directory) -> DataFrame:
     """(gram, file_id), distinct; only the key and the text are read."""
-    return corpus.select("file_id", "text").mapInArrow(extract, "gram int, file_id long")
+    return co.texts(corpus).select("file_id", "text").mapInArrow(extract, "gram int, file_id long")
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:
@@ -39,10 +40,14 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("gram").agg(F.array_sort(F.collect_list("file_id")).alias("file_ids"))
 
 
-def posting_gaps(postings: DataFrame) -> DataFrame:
-    """Each id's distance to the one before in its list, the first one's to 0."""
-    before = F.lag("file_id", 1, 0).over(Window.partitionBy("gram").orderBy("file_id"))
-    return postings.select("gram", "file_id", (F.col("file_id") - before).alias("gap"))
+def posting_gaps(postings: DataFrame, shift: int = 16) -> DataFrame:
+    """Each id's distance to the one before in its list, the first one's to 0. A common gram's list is cut into stretches of 2 ** ``shift``
+    ids, so that no task sorts all of it; each stretch needs the last id before it only."""
+    cut = postings.select("gram", "file_id", F.shiftright("file_id", shift).alias("stretch"))
+    ends = cut.groupBy("gram", "stretch").agg(F.max("file_id").alias("last"))
+    ends = ends.withColumn("before", F.lag("last", 1, 0).over(Window.partitionBy("gram").orderBy("stretch"))).drop("last")
+    own = F.lag("file_id").over(Window.partitionBy("gram", "stretch").orderBy("file_id"))
+    return cut.withColumn("own", own).join(ends, ["gram", "stretch"]).select("gram", "file_id", (F.col("file_id") - F.coalesce("own", "before")).alias("gap"))
 
 
 def from_gaps(gaps: DataFrame) -> DataFrame:
@@ -57,25 +62,18 @@ def varint_bytes(n: Column) -> Column:
 
 
 def dense_ids(files: DataFrame) -> DataFrame:
-    """0-based ids in path order without a single-partition window: ranges are numbered apart, then offset by the counts
-    of the ranges before; the counts are one row for each partition."""
-    spark = files.sparkSession
-    # equal paths fall into one range; the ranges themselves do not change the numbers
-    parts = files.repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    least = parts.groupBy("part").agg(F.min("path").alias("low"))
-    starts = [r.low for r in least.orderBy("low").collect()]
-    if not starts:
-        return files.withColumn("dense_id", F.lit(None).cast("long"))
-    bounds = spark.createDataFrame([(i, low, starts[i + 1] if i + 1 < len(starts) else None) for i, low in enumerate(starts)], "part int, low string, high string")
-    placed = files.join(F.broadcast(bounds), (F.col("path") >= F.col("low")) & (F.col("high").isNull() | (F.col("path") < F.col("high")))).drop("low", "high")
-    counts = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
+    """0-based ids in path order without a single-partition window: rows are dealt by ranges of the path, sorted and written once, numbered within
+    their range, and offset by the counts of the ranges before; the counts are one row for each range."""
+    spark, path = files.sparkSession, storage.scratch(files.sparkSession)
+    own = F.monotonically_increasing_id()  # range << 33 | number in it
+    files.repartitionByRange("path").sortWithinPartitions("path").withColumn("own", own).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("part", F.shiftright("own", 33)).withColumn("own", F.col("own").bitwiseAND((1 << 33) - 1))
     offsets, total = [], 0
-    for i in range(len(starts)):
-        offsets.append((i, total))
-        total += counts.get(i, 0)
-    offset = F.broadcast(spark.createDataFrame(offsets, "part int, offset long"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("path"))
-    return placed.withColumn("own", own).join(offset, "part").withColumn("dense_id", F.col("offset") + F.col("own") - 1).drop("part", "own", "offset")
+    for r in placed.groupBy("part").count().orderBy("part").collect():
+        offsets.append((r.part, total))
+        total += r["count"]
+    offset = F.broadcast(spark.createDataFrame(offsets, "part long, offset long"))
+    return placed.join(offset, "part").withColumn("dense_id", F.col("offset") + F.col("own")).drop("part", "own", "offset")
 
 
 @dataclass
@@ -159,12 +157,11 @@ def with_status(corpus: DataFrame, max_size: int) -> DataFrame:
     return corpus.withColumn("status", F.when(F.col("text").isNull(), "error").otherwise(status(max_size)))
 
 
-def build(corpus: DataFrame, path: str, max_size: int = MAX_FILE_SIZE, extra: dict | None = None) -> Index:
+def build(corpus: DataFrame | co.Directory, path: str, max_size: int = MAX_FILE_SIZE, extra: dict | None = None) -> Index:
     began = time.time()
-    marked = with_status(corpus, max_size)
-    indexed = marked.filter("status = 'indexed'")
-    size = indexed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return _write(corpus.sparkSession, path, postings_of(indexed), marked, {"max_file_size": max_size} | (extra or {}), began, size)
+    marked = with_status(co.texts(corpus), max_size)
+    size = co.states(corpus).filter(F.col("size") <= max_size).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return _write(marked.sparkSession, path, postings_of(marked.filter("status = 'indexed'")), marked, {"max_file_size": max_size} | (extra or {}), began, size)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -184,14 +181,14 @@ def clean(spark: SparkSession, path: str) -> bool:
     return storage.delete(spark, path)
 
 
-def update(index: Index, corpus: DataFrame, changes: DataFrame) -> Index:
+def update(index: Index, corpus: DataFrame | co.Directory, changes: DataFrame) -> Index:
     """Incremental: postings of untouched files stay, changed and added files are read again, deleted ones go.
-    ``changes`` has (path, change); only the touched files' texts are processed."""
+    ``changes`` has (path, change); only the touched files' texts are read."""
     began = time.time()
     spark = index.spark
     max_size = index.meta["max_file_size"]
     dirty = index.states.join(changes.filter("change in ('changed', 'deleted')").select("path"), "path", "left_semi").select("file_id")
-    fresh = with_status(corpus.join(changes.filter("change in ('changed', 'added')").select("path"), "path", "left_semi").select(corpus.columns), max_size)
+    fresh = with_status(co.texts(corpus, co.states(corpus).join(changes.filter("change in ('changed', 'added')").select("path"), "path", "left_semi")), max_size)
     postings = index.postings.join(dirty, "file_id", "left_anti").select("gram", "file_id").unionByName(postings_of(fresh.filter("status = 'indexed'")))
     files = index.states.join(dirty, "file_id", "left_anti").select("file_id", "path", "size", "mtime_ns", "status").unionByName(fresh.select("file_id", "path", "size", "mtime_ns", "status"))
     extra = {k: v for k, v in index.meta.items() if k in ("max_file_size", "root", "git_head")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from gramlode.functions.text import lines
 from gramlode.operators.index import Index
 from gramlode.plans import gram_plan as gp
 from gramlode.plans.regex import to_java
+from gramlode.sources import corpus as co
 
 #: Above this share of the files, a scan of all is cheaper than the index.
 SCAN_SHARE = 0.10
+#: Candidates whose keys become a filter of a table's scan; with more, a semi-join tells them.
+PUSHED = 1000
 
 
 def candidates(index: Index, plan: gp.Plan) -> DataFrame:
@@ -27,12 +32,14 @@ def filtered(files: DataFrame, path_filter: str | None) -> DataFrame:
     return files if path_filter is None else files.filter(F.rlike("path", F.lit(to_java(path_filter))))
 
 
-def scan(corpus: DataFrame, pattern: str, *, ignore_case: bool = False, path_filter: str | None = None, files_only: bool = False, before: int = 0, after: int = 0, limit: int | None = None, ordered: bool = True) -> DataFrame:
+def scan(corpus: DataFrame | co.Directory, pattern: str, *, ignore_case: bool = False, path_filter: str | None = None, files_only: bool = False, before: int = 0, after: int = 0, limit: int | None = None, ordered: bool = True) -> DataFrame:
     """Matches (path, line_number, line_text, context_before, context_after) without an index, by path and line.
 
     Each line is matched alone. Lines are exploded before matching so that the pattern runs in generated code; the line array travels
     along only if context is asked for."""
     java = F.lit(to_java(pattern, ignore_case))
+    if isinstance(corpus, co.Directory):  # other files are not opened
+        corpus = corpus.texts(filtered(corpus.states(), path_filter) if path_filter else None)
     corpus = filtered(corpus, path_filter)
     no_lines = F.lit(None).cast("array<string>")
     empty = F.array().cast("array<string>")
@@ -55,18 +62,35 @@ def scan(corpus: DataFrame, pattern: str, *, ignore_case: bool = False, path_fil
     return out if limit is None else out.limit(limit)
 
 
-def share(index: Index, plan: gp.Plan) -> float:
-    """Upper bound of the share of files that can match, from the grams' counts."""
-    return gp.estimate(plan, index.df_of(gp.grams_of(plan)), index.file_count) / max(index.file_count, 1)
+@dataclass
+class Choice:
+    """How a search goes: the mode's name, the number of candidates after the path filter, and these, or None where all files are scanned."""
+
+    mode: str
+    candidates: int
+    files: DataFrame | None
 
 
-def search(index: Index, corpus: DataFrame, pattern: str, *, ignore_case: bool = False, scan_share: float = SCAN_SHARE, **flags) -> DataFrame:
-    """Like scan(), over the indexed files; candidates come from the index if few enough, by a semi-join."""
+def chosen(index: Index, pattern: str, *, ignore_case: bool = False, path_filter: str | None = None, scan_share: float = SCAN_SHARE) -> Choice:
+    """The one place that decides, by the share of candidates after the path filter."""
     plan = gp.plan_of(pattern, ignore_case)
-    files = corpus.join(index.files.select("file_id"), "file_id", "left_semi") if index.file_count < _known(index) else corpus
-    if not isinstance(plan, gp.FullScan) and share(index, plan) <= scan_share:
-        files = corpus.join(candidates(index, plan), "file_id", "left_semi")
-    return scan(files, pattern, ignore_case=ignore_case, **flags)
+    if isinstance(plan, gp.FullScan):
+        return Choice("full-scan", filtered(index.files, path_filter).count(), None)
+    files = filtered(index.files.join(candidates(index, plan), "file_id", "left_semi"), path_filter)
+    n = files.count()
+    return Choice("rg-fullscan", n, None) if n / max(index.file_count, 1) > scan_share else Choice("indexed", n, files)
+
+
+def search(index: Index, corpus: DataFrame | co.Directory, pattern: str, *, ignore_case: bool = False, scan_share: float = SCAN_SHARE, choice: Choice | None = None, **flags) -> DataFrame:
+    """Like scan(), over the indexed files; of few candidates by the index, only these are read."""
+    path_filter = flags.get("path_filter")
+    choice = choice or chosen(index, pattern, ignore_case=ignore_case, path_filter=path_filter, scan_share=scan_share)
+    files = choice.files
+    if files is None and (isinstance(corpus, co.Directory) or index.file_count < _known(index)):
+        files = filtered(index.files, path_filter)
+    if isinstance(corpus, DataFrame) and choice.files is not None and choice.candidates <= PUSHED:
+        corpus, files = corpus.filter(F.col("file_id").isin([r.file_id for r in files.select("file_id").collect()])), None
+    return scan(co.texts(corpus, files), pattern, ignore_case=ignore_case, **flags)
 
 
 def _known(index: Index) -> int:
@@ -75,12 +99,9 @@ def _known(index: Index) -> int:
 
 
 def mode(index: Index, pattern: str, ignore_case: bool = False, path_filter: str | None = None) -> tuple[str, int]:
-    """The mode's name and the number of candidates after the path filter."""
-    plan = gp.plan_of(pattern, ignore_case)
-    n = filtered(index.files.join(candidates(index, plan), "file_id", "left_semi"), path_filter).count()
-    if isinstance(plan, gp.FullScan):
-        return "full-scan", n
-    return ("rg-fullscan" if n / max(index.file_count, 1) > SCAN_SHARE else "indexed"), n
+    """The mode's name and the number of candidates after the path filter, as search() takes them."""
+    choice = chosen(index, pattern, ignore_case=ignore_case, path_filter=path_filter)
+    return choice.mode, choice.candidates
 
 
 def summary(matches: DataFrame, files_searched: int, total_files: int, mode_name: str) -> DataFrame:

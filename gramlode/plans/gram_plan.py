@@ -125,13 +125,3 @@ def holds(plan: Plan, have: Column) -> Column:
         return reduce(lambda a, b: a & b if isinstance(p, And) else a | b, map(walk, p.parts))
 
     return F.lit(True) if isinstance(plan, FullScan) else walk(plan)
-
-
-def estimate(plan: Plan, df: dict[int, int], total: int) -> int:
-    """Upper bound of the documents that fulfil the plan, from the grams' document counts."""
-    if isinstance(plan, FullScan):
-        return total
-    if isinstance(plan, Lookup):
-        return df.get(plan.gram, 0)
-    counts = [estimate(p, df, total) for p in plan.parts]
-    return min(counts, default=0) if isinstance(plan, And) else min(total, sum(counts))

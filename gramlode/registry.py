@@ -21,6 +21,9 @@ from gramlode.sources import storage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Tables have no files to skip for their size.
+NO_LIMIT = (1 << 63) - 1
+
 _built: dict[tuple[str, str], ix.Index] = {}
 
 
@@ -38,7 +41,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> ix.Index:
     if key not in _built:
         if not _built:
             atexit.register(_sweep)
-        _built[key] = ix.build(co.documents_corpus(spark, sf_dir), storage.scratch(spark))
+        _built[key] = ix.build(co.documents_corpus(spark, sf_dir), storage.scratch(spark), NO_LIMIT)
     return _built[key]
 
 
@@ -164,22 +167,22 @@ def index_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.with_status(co.documents_corpus(spark, sf_dir), LIMIT).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def benchmark_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return ix.postings_of(co.table_corpus(b, b.item_id, b.item_id.cast("string"), b.text))
+def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.postings_of(co.documents_corpus(spark, sf_dir))
 
 
-#: Byte windows of the benchmark texts as hex digits, ASCII-lowered: digits of A-Z are 41 to 5a.
-GRAMS_SQL = f"""hexed AS (SELECT item_id, hex(encode({LOWER})) AS h FROM benchmark), postings AS (
-SELECT DISTINCT item_id AS file_id, ('0x' || substr(h, 2 * i + 1, 6))::int AS gram FROM (SELECT item_id, h, unnest(range(0, greatest(length(h) // 2 - 2, 0))) AS i FROM hexed))"""
+#: Byte windows of the texts as hex digits, ASCII-lowered.
+GRAMS_SQL = f"""hexed AS (SELECT doc_id, hex(encode({LOWER})) AS h FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), lists AS (
+SELECT doc_id, list_distinct(list_transform(range(0, greatest(length(h) // 2 - 2, 0)), lambda i: substr(h, 2 * i + 1, 6))) AS gs FROM hexed), postings AS (
+SELECT doc_id AS file_id, ('0x' || unnest(gs))::int AS gram FROM lists)"""
 
 
 def gram_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_postings(spark, sf_dir)
+    return document_postings(spark, sf_dir)
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = benchmark_postings(spark, sf_dir)
+    p = document_postings(spark, sf_dir)
     return p.agg(F.countDistinct("file_id").alias("file_count"), F.countDistinct("gram").alias("ngram_count"), F.count("*").alias("total_ngrams"))
 
 
@@ -189,15 +192,15 @@ def index_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gram_df_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_postings(spark, sf_dir).groupBy("gram").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "gram").limit(100)
+    return document_postings(spark, sf_dir).groupBy("gram").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "gram").limit(100)
 
 
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.posting_lists(benchmark_postings(spark, sf_dir)).select("gram", F.array_join(F.transform("file_ids", lambda x: x.cast("string")), ",").alias("file_ids"))
+    return ix.posting_lists(document_postings(spark, sf_dir)).select("gram", F.array_join(F.transform("file_ids", lambda x: x.cast("string")), ",").alias("file_ids"))
 
 
 def posting_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.posting_gaps(benchmark_postings(spark, sf_dir))
+    return ix.posting_gaps(document_postings(spark, sf_dir))
 
 
 def posting_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +267,94 @@ def _mode_sql(pattern: str) -> str:
     return f"SELECT {quoted(pattern)} AS pattern, {name} AS mode, n AS candidates FROM (SELECT count(*) FILTER ({plan_sql(plan)}) AS n, count(*) AS total FROM documents)"
 
 
+FILTERED = (("theren", "^src1/"), ("eaux", "^src"), ("License", None), ("the", "/en/"))
+
+
+def search_mode_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode and candidates of searches with a path filter; and whether the search itself read candidates only."""
+    index = indexed(spark, sf_dir)
+    choices = [(p, f, se.chosen(index, p, path_filter=f)) for p, f in FILTERED]
+    return spark.createDataFrame([(p, f or "", c.mode, c.candidates, c.files is not None) for p, f, c in choices], "pattern string, path_filter string, mode string, candidates long, pruned boolean")
+
+
+def _filtered_sql() -> str:
+    one = "SELECT {p} AS pattern, {f} AS path_filter, CASE WHEN n / greatest(total, 1) > 0.10 THEN 'rg-fullscan' ELSE 'indexed' END AS mode, n AS candidates, n / greatest(total, 1) <= 0.10 AS pruned FROM (SELECT count(*) FILTER ({plan} AND regexp_matches({path}, {f})) AS n, count(*) AS total FROM documents)"
+    return " UNION ALL ".join(one.format(p=quoted(p), f=quoted(f or ""), plan=plan_sql(gp.plan_of(p)), path=PATH) for p, f in FILTERED)
+
+
+# ---- what is skipped, ignored, refused
+
+
+def index_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a build in which some texts are binary, some too large and some unreadable."""
+    c = co.documents_corpus(spark, sf_dir)
+    broken = F.when(F.col("file_id") % 13 == 0, F.lit(None).cast("string")).when(F.col("file_id") % 7 == 0, F.concat(F.lit("a\0"), "text")).otherwise(F.col("text"))
+    m = _once(spark, f"skips {sf_dir}", lambda path: ix.build(c.withColumn("text", broken), path, LIMIT)).meta
+    return spark.createDataFrame([(m["file_count"], m["skipped_binary"], m["skipped_large"], m["skipped_errors"])], "file_count long, skipped_binary long, skipped_large long, skipped_errors long")
+
+
+def _once(spark: SparkSession, name: str, make: Callable[[str], ix.Index]) -> ix.Index:
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _built:
+        if not _built:
+            atexit.register(_sweep)
+        _built[key] = make(storage.scratch(spark))
+    return _built[key]
+
+
+def file_state_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states that an index keeps of its files."""
+    return indexed(spark, sf_dir).states.select("path", "size", "status")
+
+
+#: Path, whether it is a folder; ignore files as (folder, rows).
+IGNORED_PATHS = (("a/x.log", False), ("a/keep.log", False), ("b/x.log", False), ("tmp", True), ("tmp", False), ("b/tmp", True), ("doc/a.txt", False), ("doc/sub/a.txt", False), ("b/only", False), ("c/only", False), ("q/f1.c", False), ("q/f22.c", False))
+IGNORE_ROWS = (("", ["*.log", "!keep.log", "tmp/", "/doc/*.txt", "# *.c", "f?.c"]), ("b", ["only", "!x.log"]))
+
+
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = co.IgnoreRules()
+    for folder, rows in IGNORE_ROWS:
+        rules.add(rows, f"/r/{folder}".rstrip("/"))
+    return spark.createDataFrame([(p, d, rules.ignored(f"/r/{p}", d)) for p, d in IGNORED_PATHS], "path string, folder boolean, ignored boolean")
+
+
+PATTERNS = {"a(?=b)": False, "(a)\\1": False, "a++": False, "(?>a)": False, "a{2": False, "(a": False, "[a": False, "a{3,2}": False, "(?P<n>a)b": True, "[[:alpha:]]+x": True, "\\bfoo\\b": True, "a|b*?": True, "\\x41\\p{L}": True}
+
+
+def pattern_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns outside the linear-time dialect are errors."""
+    from gramlode.plans.regex import PatternError, parse
+
+    def valid(p: str) -> bool:
+        try:
+            parse(p)
+        except PatternError:
+            return False
+        return True
+
+    return spark.createDataFrame([(p, valid(p)) for p in PATTERNS], "pattern string, valid boolean")
+
+
+FLAGS = ((0, None, None), (5, None, 1), (5, 2, None), (3, 0, 0), (0, 4, None))
+
+
+def context_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gramlode.cli import context_lines
+
+    return spark.createDataFrame([(i, *context_lines(*f)) for i, f in enumerate(FLAGS)], "case int, before int, after int")
+
+
+#: Contents with lines that are not UTF-8, in hex.
+BROKEN = ("6f6b206c696e650a", "62616420ff206c696e650a676f6f64206c696e65", "e28c0a6c696e652032", "6c696e6520310d0a6c696e65fe0a6c696e652033")
+
+
+def lossy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are not UTF-8 count in the numbering and never match."""
+    rows = [(i, f"f{i}", 1, 1, *co.decoded(bytes.fromhex(h))) for i, h in enumerate(BROKEN)]
+    return se.scan(spark.createDataFrame(rows, co.SCHEMA), "line").select("path", "line_number", "line_text")
+
+
 EXPLAINED = ("hello", "foo.*bar", "foo|bar", "(foo)(bar)", "(foo|bar)baz", "[abc]def", "fn", "foo|[a-z]")
 
 
@@ -352,7 +443,7 @@ def size_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPORA = {
     "search_pages": (pages_corpus, "casino|track\\([0-9]\\)", "files AS (SELECT url AS path, coalesce(html, '') AS text FROM pages)"),
     "search_conversations": (conversations_corpus, "the.*and", "files AS (SELECT concat(conv_id::varchar, '/', lpad(turn::varchar, 4, '0'), '/', role) AS path, coalesce(text, '') AS text FROM conversations)"),
-    "search_parts": (parts_corpus, "[a-z]+ [0-9]*5", "files AS (SELECT concat(p_brand, '/', lpad(p_partkey::varchar, 9, '0')) AS path, coalesce(p_name, '') AS text FROM part)"),
+    "search_parts": (parts_corpus, "^[a-z]+ [a-z]*e", "files AS (SELECT concat(p_brand, '/', lpad(p_partkey::varchar, 9, '0')) AS path, coalesce(p_name, '') AS text FROM part)"),
 }
 
 
@@ -361,7 +452,12 @@ def _corpus_search(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return flat(se.scan(make(spark, sf_dir), pattern))
 
 
-_PLAIN = (corpus_files, file_ids, index_eligible, gram_extract, index_stats, index_build_stats, gram_df_topk, posting_lists, posting_gaps, posting_decode, posting_bytes, gram_hash, search_no_index, indexed_equals_scan, search_json, search_text, search_highlight, search_summary, search_mode, explain_plan, freshness_diff, freshness_summary, incremental_postings, incremental_equals_full, size_format, size_parse)
+_PLAIN = (corpus_files, file_ids, index_eligible, gram_extract, index_stats, index_build_stats, gram_df_topk, posting_lists, posting_gaps, posting_decode, posting_bytes, gram_hash, search_no_index, indexed_equals_scan, search_json, search_text, search_highlight, search_summary, search_mode, search_mode_filtered, index_skips, file_state_read, ignored_paths, pattern_valid, context_flags, lossy_lines, explain_plan, freshness_diff, freshness_summary, incremental_postings, incremental_equals_full, size_format, size_parse)
+
+
+def _values(columns: str, rows) -> str:
+    show = lambda v: quoted(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::int"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({columns})"
 
 
 def queries() -> dict[str, Query]:
@@ -405,6 +501,13 @@ def oracle_sql() -> dict[str, str]:
         "search_highlight": f"{hits}, regexp_replace(line_text, '(Lic[a-z]+)', chr(27) || '[1;31m' || chr(92) || '1' || chr(27) || '[0m', 'g') AS text FROM lines WHERE regexp_matches(line_text, 'Lic[a-z]+')",
         "search_summary": f"WITH {lines_sql()}, m AS (SELECT count(*) AS match_count, count(DISTINCT path) AS file_count FROM lines WHERE regexp_matches(line_text, 'License')), c AS ({_mode_sql('License')}) SELECT match_count, file_count, candidates AS files_searched, (SELECT count(*) FROM documents) AS total_files, mode FROM m, c",
         "search_mode": " UNION ALL ".join(map(_mode_sql, MODES)),
+        "search_mode_filtered": _filtered_sql(),
+        "index_skips": f"WITH {FILES} SELECT count(*) FILTER (s = 'i') AS file_count, count(*) FILTER (s = 'b') AS skipped_binary, count(*) FILTER (s = 'l') AS skipped_large, count(*) FILTER (s = 'e') AS skipped_errors FROM (SELECT CASE WHEN file_id % 13 = 0 THEN 'e' WHEN size > {LIMIT} THEN 'l' WHEN file_id % 7 = 0 THEN 'b' ELSE 'i' END AS s FROM files)",
+        "file_state_read": f"WITH {FILES} SELECT path, size::bigint AS size, 'indexed' AS status FROM files",
+        "ignored_paths": _values("path, folder, ignored", [(p, d, (p, d) in {("a/x.log", False), ("tmp", True), ("b/tmp", True), ("doc/a.txt", False), ("b/only", False), ("q/f1.c", False)}) for p, d in IGNORED_PATHS]),
+        "pattern_valid": _values("pattern, valid", PATTERNS.items()),
+        "context_flags": _values('"case", before, after', [(0, 0, 0), (1, 5, 1), (2, 2, 5), (3, 0, 0), (4, 4, 0)]),
+        "lossy_lines": _values("path, line_number, line_text", [("f0", 1, "ok line"), ("f1", 2, "good line"), ("f2", 2, "line 2"), ("f3", 1, "line 1"), ("f3", 3, "line 3")]),
         "explain_plan": _explained_sql(),
         "freshness_diff": DIFF_SQL + "SELECT path, change FROM d WHERE change IS NOT NULL",
         "freshness_summary": DIFF_SQL + "SELECT count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'deleted') AS deleted, count(change) = 0 AS is_fresh, (SELECT count(*) FROM o) AS total_indexed FROM d",

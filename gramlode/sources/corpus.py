@@ -1,8 +1,9 @@
 """Corpora: DataFrames (file_id BIGINT, path STRING, size BIGINT, mtime_ns BIGINT, text STRING, bad ARRAY<INT>).
 
 ``bad`` holds the 0-based lines that are not valid UTF-8: they count in the numbering but never match; null if there are none.
-A table corpus is any DataFrame with a key and a text column. A directory corpus lists files on the driver (names and sizes only),
-drops ignored ones and reads contents in the executors; a cluster needs the folder mounted on every machine.
+A table corpus is any DataFrame with a key and a text column. A directory corpus is a Directory: it lists files on the driver (names and sizes
+only), drops ignored ones, and reads the contents of files that are asked for in the executors; a cluster needs the folder mounted on every machine.
+states() and texts() take either kind.
 """
 
 from __future__ import annotations
@@ -47,10 +48,9 @@ def status(max_size: int = MAX_FILE_SIZE) -> Column:
 
 
 class IgnoreRules:
-    """Patterns of ignore files, each relative to the folder that holds it; the last that fits decides."""
+    """Patterns of ignore files, each relative to the folder that holds it; the last that fits decides. Paths are absolute."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self):
         self.rules: list[tuple[str, re.Pattern, bool, bool]] = []
 
     def read(self, path: str, base: str) -> None:
@@ -59,6 +59,9 @@ class IgnoreRules:
                 rows = f.read().split("\n")
         except OSError:
             return
+        self.add(rows, base)
+
+    def add(self, rows: list[str], base: str) -> None:
         for row in rows:
             row = row.rstrip()
             if not row or row.startswith("#"):
@@ -77,27 +80,53 @@ class IgnoreRules:
             out += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^") if part[:1] == "[" and part[-1:] == "]" else re.escape(part))
         return f"(?:{'' if anchored else '(?:.*/)?'}{out})\\Z"
 
-    def ignored(self, rel: str, is_folder: bool) -> bool:
+    def ignored(self, path: str, is_folder: bool) -> bool:
         for base, pattern, keep, only_folders in reversed(self.rules):
-            if only_folders and not is_folder or base and not rel.startswith(base + "/"):
-                continue
-            if pattern.match(rel[len(base) + 1 :] if base else rel):
+            base = base.rstrip("/") + "/"
+            if (not only_folders or is_folder) and path.startswith(base) and pattern.match(path[len(base) :]):
                 return not keep
         return False
 
 
+def _global_excludes() -> str:
+    """The user's own ignore file: what git's configuration names, or its usual place."""
+    try:
+        told = subprocess.run(["git", "config", "--path", "--get", "core.excludesFile"], capture_output=True, text=True, timeout=10).stdout.strip()
+    except (OSError, subprocess.TimeoutExpired):
+        told = ""
+    return told or os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+
+
+def _above(root: str) -> list[str]:
+    """Folders from the file system's root down to the parent of ``root``."""
+    out, at = [], os.path.dirname(os.path.abspath(root))
+    while at not in out:
+        out.append(at)
+        at = os.path.dirname(at)
+    return out[::-1]
+
+
 def walk(root: str) -> Iterator[tuple[str, int, int]]:
-    """(relative path, size, mtime in ns) of regular files, sorted by path; hidden and ignored ones are left out."""
+    """(relative path, size, mtime in ns) of regular files, sorted by path; hidden and ignored ones are left out.
+
+    Inside a git repository the user's ignore file, the repository's own list and the .gitignore files from its top down count; our own
+    ignore files count from any folder above."""
     found: list[tuple[str, int, int]] = []
-    rules = IgnoreRules(root)
-    in_git = os.path.isdir(os.path.join(root, ".git"))
+    rules = IgnoreRules()
+    root = os.path.abspath(root)
+    top = next((p for p in [root, *_above(root)[::-1]] if os.path.exists(os.path.join(p, ".git"))), None)
+    in_git = top is not None
     if in_git:
-        rules.read(os.path.join(root, ".git/info/exclude"), "")
+        rules.read(_global_excludes(), top)
+        rules.read(os.path.join(top, ".git/info/exclude"), top)
+    for folder in _above(root):
+        for name in ([".gitignore"] if in_git and (folder + os.sep).startswith(top + os.sep) else []) + [IGNORE_FILE]:
+            rules.read(os.path.join(folder, name), folder)
 
     def visit(folder: str, rel: str) -> None:
         before = len(rules.rules)
         for name in ([".gitignore"] if in_git else []) + [IGNORE_FILE]:
-            rules.read(os.path.join(folder, name), rel)
+            rules.read(os.path.join(folder, name), folder)
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
@@ -107,9 +136,9 @@ def walk(root: str) -> Iterator[tuple[str, int, int]]:
             if e.name.startswith(".") or e.is_symlink():
                 continue
             if e.is_dir():
-                if not any(fnmatch.fnmatchcase(e.name, p) for p in IGNORED_ANYWHERE + (IGNORED_AT_ROOT if not rel else ())) and not rules.ignored(path, True):
+                if not any(fnmatch.fnmatchcase(e.name, p) for p in IGNORED_ANYWHERE + (IGNORED_AT_ROOT if not rel else ())) and not rules.ignored(e.path, True):
                     visit(e.path, path)
-            elif e.is_file() and not rules.ignored(path, False):
+            elif e.is_file() and not rules.ignored(e.path, False):
                 s = e.stat()
                 found.append((path, s.st_size, s.st_mtime_ns))
         del rules.rules[before:]
@@ -156,10 +185,37 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return df.select(F.xxhash64("path").alias("file_id"), "path", "size", "mtime_ns")
 
 
-def directory_corpus(spark: SparkSession, root: str, max_size: int | None = MAX_FILE_SIZE) -> DataFrame:
-    """Contents over ``max_size`` bytes are not read; None reads all."""
-    listed = listing(spark, root)
-    return listed.repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(_read(root, max_size), SCHEMA)
+class Directory:
+    """A directory corpus, as it is when first listed. Contents over ``max_size`` bytes are not read; None reads all."""
+
+    def __init__(self, spark: SparkSession, root: str, max_size: int | None = MAX_FILE_SIZE):
+        self.spark, self.root, self.max_size, self._listed = spark, root, max_size, None
+
+    def states(self) -> DataFrame:
+        if self._listed is None:
+            self._listed = listing(self.spark, self.root)
+        return self._listed
+
+    def texts(self, files: DataFrame | None = None) -> DataFrame:
+        """The files, or those of ``files`` (file_id): no other is opened."""
+        listed = self.states() if files is None else self.states().join(files.select("file_id"), "file_id", "left_semi")
+        return listed.select("file_id", "path", "size", "mtime_ns").repartition(max(8, self.spark.sparkContext.defaultParallelism)).mapInArrow(_read(self.root, self.max_size), SCHEMA)
+
+
+def directory_corpus(spark: SparkSession, root: str, max_size: int | None = MAX_FILE_SIZE) -> Directory:
+    return Directory(spark, root, max_size)
+
+
+def states(corpus: DataFrame | Directory) -> DataFrame:
+    """file_id, path, size and mtime_ns; a directory's contents are not read."""
+    return corpus.states() if isinstance(corpus, Directory) else corpus
+
+
+def texts(corpus: DataFrame | Directory, files: DataFrame | None = None) -> DataFrame:
+    """All columns of all files, or of those of ``files`` (file_id)."""
+    if isinstance(corpus, Directory):
+        return corpus.texts(files)
+    return corpus if files is None else corpus.join(files.select("file_id"), "file_id", "left_semi")
 
 
 def project_root(start: str) -> str:

@@ -51,9 +51,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir; where that is unset (local runs), below the driver's temporary folder."""
-    import tempfile
+    """A new folder that driver and executors share: below spark.checkpoint.dir. A local session may do without it and gets one below its warehouse."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/.work"
     return f"{base}/{uuid.uuid4().hex}"

@@ -144,3 +144,36 @@ def test_nothing_imports_llm():
     code = "import sys, gramlode.cli, gramlode.registry; print([m for m in sys.modules if m.startswith('gramlode.llm')])"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.strip() == "[]"
+
+
+def test_ignore_files_above_the_root(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", "/dev/null")
+    for path, text in {"config/git/ignore": "*.bak\n", "top/.git/info/exclude": "secret.txt\n", "top/.gitignore": "*.o\n/sub/made/\n", "top/sub/.gitignore": "!keep.o\n", "top/sub/a.o": "", "top/sub/keep.o": "", "top/sub/x.bak": "", "top/sub/secret.txt": "", "top/sub/made/f.txt": "", "top/sub/deep/f.txt": "", f"top/{co.IGNORE_FILE}": "deep/no.txt\nno2.txt\n", "top/sub/deep/no2.txt": ""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    assert [p for p, _, _ in co.walk(str(tmp_path / "top/sub"))] == ["deep/f.txt", "keep.o"]
+
+
+def test_only_candidates_are_opened(spark, tmp_path):
+    """Contents are read for files that changed, and for candidates; the others' are gone in between, which nobody notices."""
+    for i in range(40):
+        (tmp_path / f"f{i}.txt").write_text(f"common words {i}")
+    (tmp_path / "one.txt").write_text("PyObject_GC_Track here")
+    corpus = co.directory_corpus(spark, str(tmp_path))
+    corpus.states()
+    index = ix.build(corpus, str(tmp_path / ".index"))
+    opened = lambda df: sorted(r.path for r in df.select("path").collect())
+    choice = se.chosen(index, "GC_Track")
+    assert (choice.mode, choice.candidates) == ("indexed", 1) and opened(co.texts(corpus, choice.files)) == ["one.txt"]
+    times = {p.name: p.stat() for p in tmp_path.glob("f*.txt")}
+    for p in tmp_path.glob("f*.txt"):  # other contents of the same size and time: a search that opened them would find them
+        p.write_text("GC_Track" + "x" * (times[p.name].st_size - 8))
+        os.utime(p, ns=(times[p.name].st_atime_ns, times[p.name].st_mtime_ns))
+    assert opened(se.search(index, corpus, "GC_Track")) == ["one.txt"]
+    assert len(opened(se.scan(corpus, "GC_Track"))) == 41
+    assert freshness.refresh(index, corpus)[1] == "fresh"
+    (tmp_path / "f7.txt").write_text("changed words")
+    new, mode = freshness.refresh(index, co.directory_corpus(spark, str(tmp_path)))
+    assert mode == "incremental: 1 changed, 0 new, 0 deleted"
+    assert new.lookup(int.from_bytes(b"gc_", "big")).count() == 1  # the files that did not change were not read again
