@@ -2,7 +2,8 @@
 
 Texts become lower-cased code points with everything but letters turned into spaces; n-grams of 1 to 4 code points are hashed into
 BUCKETS cells. Training sums counts by language and cell in Spark; the matrix of log probabilities (BUCKETS x languages, a fixed size)
-is broadcast, and documents are scored in batches as sparse rows times that matrix.
+is broadcast, and documents are scored in batches as sparse rows times that matrix. All languages are as likely before the text is seen. Any number of
+languages will do; each adds 256 KB to the matrix, which is in single precision, and texts are scored in blocks of languages.
 
 A null text, or one without a letter, is ``und`` with score 0. Documents without a language do not train; if none trains, all
 are ``und``. Ties go to the language first in code point order. Repeated rows count as often as they occur, an empty table
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from gramlode.llm.common import bounded, text_chunks
 
 BUCKETS, ORDERS, SMOOTH = 1 << 16, (1, 2, 3, 4), 0.5
-#: Documents of a language that train, in the mean: a sample by hash, documented bound. Languages, at most.
-TRAIN_DOCS, MOST_LANGUAGES = 4000, 128
+#: Documents of a language that train, in the mean: a sample by hash, documented bound.
+TRAIN_DOCS = 4000
+#: Languages that are counted, and scored, together.
+COUNTED, SCORED = 16, 128
 BLOCK = 1 << 19
 
 
@@ -69,22 +72,33 @@ def has_letter(data: np.ndarray, offs: np.ndarray, tables) -> np.ndarray:
 
 
 def _counts(batches: Iterator) -> Iterator:
+    """Sums by language number and cell; those of more than COUNTED languages are sent on in parts."""
     import pyarrow as pa
 
     tables = _tables()
-    totals: dict[str, np.ndarray] = {}
+    totals: dict[int, np.ndarray] = {}
+
+    def sent():
+        for name, row in totals.items():
+            cells = np.flatnonzero(row[:BUCKETS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), name, np.int32)), pa.array(cells, pa.int32()), pa.array(row[cells], pa.int64())], names=["lang", "cell", "n"])
+        totals.clear()
+
     for rows, data, offs in text_chunks(batches, budget=1 << 20):
-        langs = rows.column(0).to_pylist()
-        names = sorted(set(langs))
-        number = np.array([names.index(x) for x in langs])
-        got = np.zeros((len(names), BUCKETS + 1), np.int64)
-        for cell, doc in features(data, offs, tables):
-            got += np.bincount(number[doc] * (BUCKETS + 1) + cell, minlength=got.size).reshape(got.shape)
-        for name, row in zip(names, got):
-            totals[name] = totals[name] + row if name in totals else row.copy()
-    for name, row in totals.items():
-        cells = np.flatnonzero(row[:BUCKETS])
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(row[cells], pa.int64())], names=["lang", "cell", "n"])
+        names, number = np.unique(rows.column(0).to_numpy(), return_inverse=True)
+        blocks = list(features(data, offs, tables))
+        for at in range(0, len(names), COUNTED):
+            some = names[at : at + COUNTED]
+            got = np.zeros((len(some), BUCKETS + 1), np.int64)
+            for cell, doc in blocks:
+                own = number[doc] - at
+                here = (own >= 0) & (own < len(some)) if len(names) > COUNTED else slice(None)
+                got += np.bincount(own[here] * (BUCKETS + 1) + cell[here], minlength=got.size).reshape(got.shape)
+            if len(totals) + len(some) > 2 * COUNTED:
+                yield from sent()
+            for name, row in zip(some.tolist(), got):
+                totals[name] = totals[name] + row if name in totals else row
+    yield from sent()
 
 
 def held_out() -> Column:
@@ -96,24 +110,21 @@ def train(labelled: DataFrame, most_docs: int = TRAIN_DOCS) -> tuple[list[str],
     """Languages and log probabilities, from (doc_id, text, lang). Of a language with more than ``most_docs`` documents, a share by hash
     trains; what reaches the driver are languages x BUCKETS sums at most."""
     labelled = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        return [], np.zeros((BUCKETS + 1, 0))
-    rates = {r.lang: min(1.0, most_docs / r["count"]) for r in sizes}
-    spark = labelled.sparkSession
-    cut = F.broadcast(spark.createDataFrame([(k, int(v * (1 << 30))) for k, v in rates.items()], "lang string, cut long"))
+        return [], np.zeros((BUCKETS + 1, 0), np.float32)
+    langs = sorted(sizes)
+    spark = bounded(labelled.sparkSession)
+    cut = F.broadcast(spark.createDataFrame([(x, i, int(min(1.0, most_docs / sizes[x]) * (1 << 30))) for i, x in enumerate(langs)], "lang string, number int, cut long"))
     chosen = labelled.join(cut, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("cut"))
-    counts = chosen.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(_counts, "lang string, cell int, n long")
+    counts = chosen.select("number", F.col("text").cast("string").alias("text")).mapInArrow(_counts, "lang int, cell int, n long")
     table = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(rates)
-    matrix = np.zeros((BUCKETS + 1, len(langs)))
-    number = {x: i for i, x in enumerate(langs)}
-    matrix[table["cell"].to_numpy(), [number[x] for x in table["lang"].to_pylist()]] = table["n"].to_numpy()
-    matrix[:BUCKETS] += SMOOTH
-    matrix[:BUCKETS] = np.log(matrix[:BUCKETS] / matrix[:BUCKETS].sum(0))
+    matrix = np.full((BUCKETS + 1, len(langs)), SMOOTH, np.float32)
+    matrix[table["cell"].to_numpy(), table["lang"].to_numpy()] += table["n"].to_numpy()
     matrix[BUCKETS] = 0
+    for i in range(len(langs)):
+        column = matrix[:BUCKETS, i].astype(float)
+        matrix[:BUCKETS, i] = np.log(column / column.sum())
     return langs, matrix
 
 
@@ -121,12 +132,13 @@ def score_texts(data: np.ndarray, offs: np.ndarray, matrix: np.ndarray, tables)
     """Sums of log probabilities of each text (sparse rows times the matrix), and their numbers of n-grams."""
     n = len(offs) - 1
     sums, counts = np.zeros((n, matrix.shape[1])), np.zeros(n)
-    step = max(4096, (1 << 21) // max(1, matrix.shape[1]))  # bounds the memory whatever the number of languages
+    step = max(4096, (1 << 21) // max(1, min(SCORED, matrix.shape[1])))  # bounds the memory whatever the number of languages
     for cells, docs in features(data, offs, tables):
         for at in range(0, len(cells), step):
             cell, doc = cells[at : at + step], docs[at : at + step]
             new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            sums[doc[new]] += np.add.reduceat(matrix[cell], new, axis=0)
+            for k in range(0, matrix.shape[1], SCORED):
+                sums[doc[new], k : k + SCORED] += np.add.reduceat(matrix[:, k : k + SCORED][cell], new, axis=0, dtype=float)
             counts[doc[new]] += np.add.reduceat((cell < BUCKETS).astype(float), new)
     return sums, counts
 

@@ -1,8 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each document gets a rate of 0 to 2 copies: 2 / (1 + exp(-(a + b * z))), the exponential tilt, by source, of two coin
-tosses; z is the document's logarithmic size, b a tilt towards longer documents that is given, a the source's multiplier. The dual is
-convex in a; Newton steps, each one distributed sum over documents, solve it for all sources at once. Rates become copies by
+Each document gets a rate of 0 to 2 copies. The rates are those of least relative entropy to a base measure among all that meet the token
+constraints, one for each source: its documents' expected words are its target. Each copy, of two at most, is tossed by itself, and the base
+measure gives it odds of exp(b * z), z the document's logarithmic size and b a tilt towards longer documents that is given. Minimising the sum of
+p log(p / q) + (1 - p) log((1 - p) / (1 - q)) by words tilts these odds exponentially, by the multiplier a of the source's constraint:
+rate = 2 / (1 + exp(-(a + b * z))). (With one toss without a bound the form would be exp(a + b * z); the bound of 2 copies makes it this one.)
+The dual is convex in a; each source has one constraint, so its Hessian is diagonal and a Newton step for all sources at once is one distributed sum
+over documents. Rates become copies by
 sequential Poisson sampling: a document's extra copy is taken in the order of hash / fraction (as hash / (hash + fraction), below 1) until its source's target is met, where
 the border is found by refining histograms, so that no source is ever sorted or gathered as a whole.
 
@@ -13,15 +17,19 @@ taken together. An empty table gives an empty result; a source without words tak
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlode.llm.common import bounded, saved, text_chunks, word_bounds
+from gramlode.operators.index import dense_ids
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Tilt towards long documents, Newton steps, cells of a histogram and how often it is refined.
 TILT, STEPS, CELLS, LEVELS = 0.25, 30, 1024, 3
+#: Sources that are solved together.
+MOST_SOURCES = 100_000
 
 
 def _sizes(batches: Iterator) -> Iterator:
@@ -61,22 +69,56 @@ def _rate(a: Column, tilt: float, most: float = MOST) -> Column:
     return most / (1 + F.exp(-(a + tilt * F.log1p(F.col("size").cast("double")))))
 
 
+def _targets(by_source: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """targets() for any number of sources: (source, source_size, target). A source is full where the open ones' share of a unit of weight passes its
+    limit; the share is summed by the executors until no other is full."""
+    spark = by_source.sparkSession
+    ranked = dense_ids(by_source.filter("source is not null").withColumnRenamed("source", "path")).select(F.col("path").alias("source"), "source_size", F.col("dense_id").alias("place"))
+    last = by_source.filter("source is null").select("source", "source_size", F.lit(ranked.count()).cast("long").alias("place"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = saved(ranked.unionByName(last).withColumn("weight", weight), "mix-weights")
+    limit = most * F.col("source_size")
+    total = ranked.agg(F.sum("source_size")).first()[0]
+    unit, full = 0.0, -1
+    while True:
+        is_full = F.lit(unit) * F.col("weight") > limit if full >= 0 else F.lit(False)
+        n, taken, open_ = ranked.agg(F.count(F.when(is_full, 1)), F.sum(F.when(is_full, limit).otherwise(0.0)), F.sum(F.when(~is_full, F.col("weight")).otherwise(0.0))).first()
+        if n == full or not open_:
+            return ranked.select("source", "source_size", F.when(is_full, limit).otherwise(F.lit(unit) * F.col("weight")).alias("target"))
+        unit, full = (share * total - taken) / open_, n
+
+
 def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST, tilt: float = TILT, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies and taken of each document, and columns to ``keep``.
 
-    Sources are few against documents: a row for each is summed by the executors, and the list is checked to be under
-    100,000 before it is held by the driver and broadcast."""
+    Up to MOST_SOURCES sources are solved together, their rows held by the driver and broadcast; with more, targets are shared out by the executors and
+    sources are solved in groups of that size, by hash: after the targets, no source depends on another."""
     spark = docs.sparkSession
     docs = docs.withColumn("source", F.col("source").cast("string"))
     sized = saved(word_sizes(docs), "mix-sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    listed = [(r.source, r.source_size) for r in by_source.limit(100_001).collect()]
-    if len(listed) > 100_000:
-        raise ValueError("more than 100,000 sources: they are no longer few")
-    goal = targets(listed, weights, share, most)
-    size_of = dict(listed)
-    a = _multipliers(sized, goal, size_of, most, tilt)
-    info = F.broadcast(spark.createDataFrame([(s, size_of[s], goal[s], a[s]) for s in goal], "s string, source_size long, target double, a double"))
+    rows = word_sizes(docs, ("doc_id", "source", *(c for c in keep if c not in ("doc_id", "source")))) if keep else sized
+    by_source = saved(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    n = by_source.count()
+    solve = {"most": most, "tilt": tilt, "seed": seed, "keep": keep}
+    if n <= MOST_SOURCES:
+        listed = [(r.source, r.source_size) for r in by_source.collect()]
+        goal = targets(listed, weights, share, most)
+        return _solved(spark, sized, rows, goal, dict(listed), **solve)
+    told = saved(_targets(by_source, weights, share, most), "mix-targets")
+    groups = -(-2 * n // MOST_SOURCES)
+    rows = saved(rows, "mix-rows") if keep else rows
+    out = []
+    for k in range(groups):
+        here = F.pmod(F.xxhash64("source"), F.lit(groups)) == k
+        some = told.filter(here).collect()
+        out.append(_solved(spark, sized.filter(here), rows.filter(here), {r.source: r.target for r in some}, {r.source: r.source_size for r in some}, **solve))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _solved(spark, sized: DataFrame, rows: DataFrame, goal: dict, size_of: dict, *, most: float, tilt: float, seed: int, keep: tuple[str, ...]) -> DataFrame:
+    """The mix of some sources."""
+    a = {s: round(x, 9) for s, x in _multipliers(sized, goal, size_of, most, tilt).items()}  # sums in another order must not change rates
+    info = F.broadcast(spark.createDataFrame([(s, size_of[s], float(goal[s]), a[s]) for s in goal], "s string, source_size long, target double, a double"))
 
     def rated(rows: DataFrame) -> DataFrame:
         toss = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
@@ -86,9 +128,8 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
         return out.withColumn("key", F.when(part > 0, toss / (toss + part)))
 
     line = F.broadcast(_border(rated(sized), goal))
-    rows = rated(word_sizes(docs, ("doc_id", "source", *(c for c in keep if c not in ("doc_id", "source")))) if keep else sized)
     extra = F.when(F.col("key").isNotNull() & (F.col("key") < F.col("line")), 1).otherwise(0)
-    out = rows.join(line, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", (F.col("whole") + extra).cast("int"))
+    out = rated(rows).join(line, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", (F.col("whole") + extra).cast("int"))
     return out.select(*dict.fromkeys(("doc_id", "source", *keep)), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

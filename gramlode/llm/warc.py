@@ -18,10 +18,10 @@ import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import saved
+from gramlode.llm.common import dealt, saved
 
 #: Bytes of an archive row, revisits that are broadcast at most (beyond, they are joined by a shuffle), captures in a range in the mean,
 #: ranges at most (with more captures, ranges grow) and keys sampled for each.
@@ -232,7 +232,7 @@ def _arrow_fields():
 
 
 def history(archives: DataFrame) -> DataFrame:
-    """All captures in global order: (range, position) sorts them; prior_ts is the URL key's capture before, within its range."""
+    """All captures in global order: (range, position) sorts them; prior_ts is the URL key's capture before."""
     runs = saved(_runs(archives), "warc-runs")
     n = runs.count()
     ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
@@ -270,7 +270,13 @@ def history(archives: DataFrame) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array(range(len(out)), pa.int64()), pa.array(prior, pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, fields))], names=["range", "position", "prior_ts", *(f.name for f in fields)])
 
     cut = runs.mapInArrow(sliced, f"range int, {CAPTURE}")
-    return cut.groupBy("range").applyInArrow(merged, f"range int, position long, prior_ts long, {CAPTURE}")
+    whole = saved(dealt(cut, "range", ranges).groupBy("range").applyInArrow(merged, f"range int, position long, prior_ts long, {CAPTURE}"), "warc-history")
+    # what a range ends with goes on to the next one: a row for each range, MOST_RANGES at most
+    ends = whole.groupBy("range").agg(F.max(F.struct("position", "url_key", "ts")).alias("end"))
+    order = Window.orderBy("range")
+    before = F.broadcast(ends.select(F.col("range"), F.lag("end.url_key").over(order).alias("end_key"), F.lag("end.ts").over(order).alias("end_ts")))
+    carried = F.when((F.col("position") == 0) & (F.col("url_key") == F.col("end_key")), F.col("end_ts")).otherwise(F.col("prior_ts"))
+    return whole.join(before, "range", "left").select("range", "position", carried.alias("prior_ts"), *whole.columns[3:])
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:

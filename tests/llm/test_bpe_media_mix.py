@@ -101,3 +101,30 @@ def test_mix_reaches_targets(spark):
         own = [r for r in a if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 61
         assert own[0].source_size == sum(r.size for r in own)
+
+
+@pytest.mark.parametrize("together", [100_000, 4])
+def test_mix_rates_equal_bisection(spark, monkeypatch, together):
+    """Targets and rates of each source against plain ones; also where sources are solved in groups."""
+    import math
+
+    monkeypatch.setattr(mixing, "MOST_SOURCES", together)
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 3, 10, 60))), rng.choice(["a", "b", "ü", "Z", "c c", "tiny", "d", None])) for i in range(900)] + [(5000, "x " * 4000, "b"), (5001, None, "e"), (5002, "x", "e")]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
+    size = {d: len((t or "").split()) for d, t, _ in rows}
+    sums = {}
+    for d, _, s in rows:
+        sums[s] = sums.get(s, 0) + size[d]
+    goal = mixing.targets(list(sums.items()))
+    assert len(got) == len(rows) and abs(sum(goal.values()) - 1.5 * sum(sums.values())) < 1e-6
+    for s in sums:
+        own = [d for d, _, x in rows if x == s]
+        rate = lambda a, n: 2 / (1 + math.exp(-(a + mixing.TILT * math.log1p(n))))
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(size[d] * rate(mid, size[d]) for d in own) < goal[s] else (low, mid)
+        for d in own:
+            assert abs(got[d].target - goal[s]) < 1e-6 and got[d].source_size == sums[s] and got[d].copies in (0, 1, 2)
+            assert abs(got[d].rate - (2.0 if goal[s] >= 2 * sums[s] else rate(low, size[d]))) < 1e-4

@@ -77,6 +77,10 @@ def test_warc_round_trip(spark, pages, tmp_path, monkeypatch):
         assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows], key=str) == expected_pages(pages)
         order = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in rows]
         assert order == sorted(order) and len({r["range"] for r in rows}) > 3
+        last = {}
+        for r in rows:  # the capture before, also if it ends another range
+            assert r.prior_ts == last.get(r.url_key)
+            last[r.url_key] = r.ts
     for name in warc.export(archives, str(tmp_path)):
         assert gzip.open(name).read().startswith(b"WARC/1.1\r\nWARC-Type: re")
     empty = df.filter("false")
@@ -185,3 +189,45 @@ def test_recall_of_the_tables_vectors(spark):
     got = ann.search(df).collect()
     assert len(got) == 5 * len(want)
     assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * len(got)
+
+
+def plain_cells(text):
+    """Cells of a text's n-grams, one at a time."""
+    points = [ord(c) if ord(c) >= 0x600 else ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else 32 for c in text]
+    out = []
+    for i in range(len(points)):
+        cell, blank = 0, True
+        for n in range(1, 5):
+            if i + n > len(points):
+                break
+            blank &= points[i + n - 1] == 32
+            cell = (cell + points[i + n - 1] + n) * 0x9E3779B97F4A7C15 % 2**64
+            if not blank:
+                out.append(cell >> 48)
+    return out
+
+
+@pytest.mark.parametrize("languages", [3, 140])
+def test_langid_equals_plain_bayes(spark, languages):
+    """Training and prediction against plain counting; more languages than are scored together."""
+    rng = random.Random(languages)
+    letters = {f"l{i:03}": rng.sample("abcdefghijklmnopqrstuvwxyzäöüéñ日本語", 9) for i in range(languages)}
+    text = lambda x: " ".join("".join(rng.choices(letters[x], k=rng.randint(2, 7))).title() for _ in range(12)) + "1!"
+    rows = [(i, text(x), x) for i, x in enumerate(sorted(letters) * 2)] + [(9000, None, "l001"), (9001, "12 34", "l000"), (9002, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, langid.train(df)).collect()}
+    counts = {x: {} for x in letters}
+    for _, t, x in rows:
+        if t is not None and x is not None:
+            for c in plain_cells(t):
+                counts[x][c] = counts[x].get(c, 0) + 1
+    totals = {x: sum(c.values()) + langid.SMOOTH * langid.BUCKETS for x, c in counts.items()}
+    for i, t, _ in rows[:: 1 if languages < 10 else 9] + rows[-3:]:
+        if not t or not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        cells = plain_cells(t)
+        sums = {x: sum(np.log((c.get(k, 0) + langid.SMOOTH) / totals[x]) for k in cells) for x, c in counts.items()}
+        best = max(sums.values())
+        assert sums[got[i][0]] > best - 1e-2
+        assert abs(got[i][1] - 1 / sum(np.exp((v - best) / len(cells) ** 0.5) for v in sums.values())) < 1e-3
