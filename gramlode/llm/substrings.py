@@ -30,13 +30,15 @@ from gramlode.llm.common import Rolling, bounded, dealt, drop_saved, hot_from, m
 #: Bytes of a string that counts as repeated, and of the k-gram at its anchor.
 LENGTH, GRAM = 50, 20
 #: Spans of a batch, and of a bucket in the mean, at least and at most (some 100 bytes of a task's memory each).
-LEAST_ENTRIES, MOST_ENTRIES = 1 << 18, 1 << 22
+LEAST_ENTRIES, MOST_ENTRIES = 1 << 20, 1 << 22
 #: Different spans of a k-gram in a batch from which it is hot, at least (see common.hot_from); bytes of one text looked at together.
 HOT, SEGMENT = 32, 1 << 20
 #: Spans whose text is compared in one bucket, in the mean; a k-gram with an eighth of them is hot, too.
 BUCKET_SPANS = 30_000
 #: Bytes that multikey quicksort compares; longer common prefixes are left to blind tries.
 SHALLOW = 32
+#: Texts and what is asked of them that are looked at together.
+TEXT_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 HASH = np.uint64(16)
 
@@ -295,13 +297,34 @@ def _matched(_, rows):
     return _joined(out)
 
 
+def _packer():
+    import pyarrow as pa
+
+    return pa.Codec("zstd", compression_level=1)
+
+
+def _together(batches: Iterator, size: int) -> Iterator:
+    """Small batches as larger ones, of about ``size`` bytes."""
+    import pyarrow as pa
+
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _texts(buckets: int, length: int):
     """Texts of the spans that ask for it, by bucket of their k-gram; of hot ones, each window by its own hash."""
 
     def run(batches: Iterator) -> Iterator:
         rolling = Rolling()
-        for batch in batches:
-            for rows_, data, offs in text_chunks([batch], budget=1 << 20):
+        for batch in _together(batches, TEXT_BYTES):
+            for rows_, data, offs in text_chunks([batch], budget=TEXT_BYTES):
                 keys, marks = rows_.column(0).to_numpy(), rows_.column(1).to_numpy()
                 asked = [rows_.column(rows_.schema.get_field_index(c)) for c in ("starts", "ends", "grams", "hot")]
                 doc = np.repeat(np.arange(len(keys)), np.diff(asked[0].offsets.to_numpy()))
@@ -321,7 +344,7 @@ def _texts(buckets: int, length: int):
                 for k, p in _parted(place):
                     n = size[p].astype(np.int64)
                     texts = data[np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    rows.append((k, texts.tobytes(), n.astype("<u4").tobytes(), g[p].astype("<u8").tobytes(), keys[doc[p]].tobytes(), marks[doc[p]].astype("<u4").tobytes(), (start[p] - offs[doc[p]]).astype("<i4").tobytes()))
+                    rows.append((k, _packer().compress(texts, asbytes=True), n.astype("<u4").tobytes(), g[p].astype("<u8").tobytes(), keys[doc[p]].tobytes(), marks[doc[p]].astype("<u4").tobytes(), (start[p] - offs[doc[p]]).astype("<i4").tobytes()))
                 yield from _table(TEXTS, rows).to_batches()
 
     return run
@@ -510,8 +533,9 @@ def _compared(length: int, sort: Callable):
     """A bucket of texts: windows that a smaller document has, too."""
 
     def run(_, rows):
-        raw = b"".join(rows.column("texts").to_pylist())
-        lens = np.frombuffer(b"".join(rows.column("lens").to_pylist()), "<u4").astype(np.int64)
+        each = [np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("lens").to_pylist()]
+        raw = b"".join(_packer().decompress(x, int(n.sum()), asbytes=True) for x, n in zip(rows.column("texts").to_pylist(), each))
+        lens = np.concatenate(each)
         ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), np.int64)
         marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), "<u4").astype(np.int64)
         starts = np.frombuffer(b"".join(rows.column("starts").to_pylist()), "<i4").astype(np.int64)
@@ -568,14 +592,16 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, full: bool
     blocks = docs.select("key", "mark", "text").mapInArrow(_blocks(buckets, entries, hot_from(spans_all, entries, HOT), length, gram, sort), BLOCK)
     found = saved(dealt(blocks, "bucket", buckets).groupBy("bucket").applyInArrow(_matched, FOUND), "substr-found")
     lists = lambda *names: [F.flatten(F.collect_list(c)).alias(c) for c in names]
-    want = found.filter("kind = 1")
-    spans_asked = want.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
-    asked = want.groupBy("key", "mark").agg(*lists("starts", "ends", "grams", "hot"))
-    smaller = max(16, -(-spans_asked // BUCKET_SPANS))
+    # each step is written, and what it was made of dropped, before the next one shuffles
+    by_doc = lambda df, *names: df.groupBy("key", "mark").agg(*lists(*names))
+    asked = saved(by_doc(found.filter("kind = 1"), "starts", "ends", "grams", "hot"), "substr-asked")
+    settled = saved(by_doc(found.filter("kind = 0"), "starts", "ends"), "substr-settled")
+    drop_saved(found)
+    smaller = max(16, -(-asked.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0] // BUCKET_SPANS))
     texts = docs.join(asked, ["key", "mark"]).select("key", "mark", "text", "starts", "ends", "grams", "hot").mapInArrow(_texts(smaller, length), TEXTS)
     more = saved(dealt(texts, "bucket", smaller).groupBy("bucket").applyInArrow(_compared(length, sort), FOUND), "substr-more")
-    covers = found.filter("kind = 0").unionByName(more).select("key", "mark", "starts", "ends").groupBy("key", "mark").agg(*lists("starts", "ends"))
-    covers = saved(covers, "substr-covers")
-    drop_saved(found, more)
+    drop_saved(asked)
+    covers = saved(by_doc(settled.unionByName(more.select("key", "mark", "starts", "ends")), "starts", "ends"), "substr-covers")
+    drop_saved(settled, more)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * full
     return docs.join(covers, ["key", "mark"], "left").select("doc_id", "text", "starts", "ends").mapInArrow(_kept(full), schema)
