@@ -41,6 +41,59 @@ SELECT h.doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bi
 sha256(unhex(coalesce(pieces || substr(h, 2 * t.b + 1), h))) AS kept_sha256 FROM h LEFT JOIN t ON t.doc_id = h.doc_id
 """
 
+# ---- the parts of trained or random queries that SQL can express
+
+
+def _crc32(numbers: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    step = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::bigint) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {numbers}), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, z: {step})), 4294967295::bigint)"
+
+
+LANGID_SPLIT = f"""
+SELECT doc_id, {_crc32("list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)")} % 5 = 0 AS held_out,
+NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS unknown FROM documents
+"""
+
+#: The base patterns as the contract has them, by kind.
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_HITS = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{name}' AS kind, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS pieces FROM d" for k, (name, p) in enumerate(PATTERNS.items()))
+
+#: A match begins behind all pieces and matches before it.
+PII_BASE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_HITS}),
+e AS (SELECT doc_id, k, kind, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{'hit': hits[i], 'at': list_sum(list_transform(pieces[1:i], lambda p: length(p)))
+  + coalesce(list_sum(list_transform(hits[1:i - 1], lambda p: length(p))), 0)}})) AS h FROM m),
+g AS (SELECT doc_id, k, kind, h.hit AS hit, h.at::bigint AS a, h.at::bigint + length(h.hit) AS b, regexp_replace(h.hit, '[^0-9]', '', 'g') AS g FROM e),
+v AS (SELECT * FROM g WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(g) BETWEEN 10 AND 15
+  WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) < 4 AND coalesce(try_cast(x AS hugeint) <= 255, false)))
+  ELSE length(g) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(g)[i]::int ELSE 2 * reverse(g)[i]::int - CASE WHEN reverse(g)[i]::int > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{name}') AS n_{name}" for name in PATTERNS)},
+sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k), '')) AS base_sha256 FROM d LEFT JOIN v USING (doc_id) GROUP BY doc_id
+"""
+
+#: With the sources in the order in which they fill up, the share of a unit of weight is largest where just those are full that it passes.
+MIXING_TARGETS = """
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+b AS (SELECT source, sum(size)::bigint AS source_size FROM s GROUP BY source),
+w AS (SELECT source, source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::double AS w FROM b),
+o AS (SELECT *, 1.5::double * sum(source_size) OVER () - coalesce(sum(2.0::double * source_size) OVER (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM w),
+t AS (SELECT source, source_size, least(2.0::double * source_size, w * max(rest / ws) OVER ()) AS target FROM o)
+SELECT doc_id, size::bigint AS size, source_size, round(target, 3) AS target FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+"""
+
+MEDIA_PAYLOAD = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, length(h) // 2 AS n, h || repeat('FF', CASE WHEN h = '' THEN 576 ELSE (576 - length(h) // 2 % 576) % 576 END) AS p FROM h)
+SELECT doc_id, n::bigint AS n_bytes, (length(p) // 2)::bigint AS payload_bytes, sha256(unhex(p)) AS payload_sha256,
+{_crc32("list_transform(range(0, 32), lambda i: ('0x' || substr(right(p, 64), 2 * i + 1, 2))::bigint)")} AS tail_crc32 FROM p
+"""
+
+BPE_ROUND_TRIP = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
 
 def queries() -> dict[str, str]:
-    return {"op3_ngram_join": NGRAM_JOIN, "op5_warc": WARC, "op8_substrings": SUBSTRINGS}
+    whole = {"op3_ngram_join": NGRAM_JOIN, "op5_warc": WARC, "op8_substrings": SUBSTRINGS}
+    return whole | {"langid_split": LANGID_SPLIT, "pii_base": PII_BASE, "mixing_targets": MIXING_TARGETS, "media_payload": MEDIA_PAYLOAD, "bpe_round_trip": BPE_ROUND_TRIP}

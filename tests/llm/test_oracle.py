@@ -19,7 +19,7 @@ def test_equals_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries() if k.startswith("op")) == list(range(1, 11))
 
 
 def test_entry_without_these_folders(tmp_path):
